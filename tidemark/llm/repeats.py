@@ -29,7 +29,7 @@ from tidemark.llm.common import input_columns, row_key, staged
 
 WIDTH, GRAM = 400, 32
 #: Contexts of one anchor that go into a block at most, and of a block about.
-BLOCK = 1500
+BLOCK = 3000
 #: Bytes of text whose anchors are found together.
 GROUP_BYTES = 1 << 20
 _rng = np.random.default_rng(20)
@@ -136,7 +136,7 @@ class RunIndex:
         rank, width = text, 1
         order = np.argsort(rank, kind="stable")
         while True:  # to the full order: two suffixes part at a stop at the latest
-            self.levels.append((width, rank))
+            self.levels.append((width, rank.astype(np.int32)))
             after = np.full(n, -1, np.int64)
             after[: n - width] = rank[width:]
             both = rank * (n + 1 + 256 + m) + after + 1
@@ -272,7 +272,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 s, e = max(0, left + a), min(len(raw), left + z + WIDTH)
                 child = h64(raw[core[0] : core[1]] + node.to_bytes(8, "little", signed=True), z - low)
-                rows.append((child - (1 << 63), h64(raw[s:e], s - left + 1000) - (1 << 63), a, z, key, pos, left, s - left, e - left, raw))
+                rows.append((child - (1 << 63), h64(raw[s:e], s - left + 1000) - (1 << 63), a, z, key, pos, left - s, s - left, e - left, raw[s:e]))
         if rows:
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["node", "hull", "low", "high", "key", "pos", "left", "s", "e", "raw"])
@@ -294,8 +294,9 @@ def marks(docs: DataFrame) -> DataFrame:
     docs: key, text."""
     session = docs.sparkSession
     found = staged(docs.mapInArrow(_find, "node long, hull long, key long, pos int, left int, right int"), "anchors")
-    kinds = _kinds(found)
-    told = staged(found.join(kinds, ["node", "hull"]), "met-anchors")
+    again = found.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
+    found = staged(found.join(again, "node", "left_semi"), "repeated-anchors")
+    told = staged(found.join(_kinds(found), ["node", "hull"]), "met-anchors")
     done = told.where("n > 1").select("key", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("stop"))
     open_ = told.where((F.col("kinds") > 1) & ((F.col("n") == 1) | (F.struct("key", "pos") == F.col("one"))))
     wanted = open_.select("key", "node", "pos", "left", "right").distinct().groupBy("key").agg(F.collect_list(F.struct("node", "pos", "left", "right")).alias("wanted"))
@@ -343,7 +344,7 @@ def removed(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()], strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     rows = input_columns(docs).withColumn("key", row_key(F.col("doc_id"), F.col("text")))
-    found = marks(rows.select("key", "text")).distinct().groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    found = marks(rows.select("key", "text")).groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return rows.join(staged(found, "spans"), "key", "left").select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
