@@ -30,7 +30,7 @@ def instruments(regions: DataFrame, reverters: DataFrame | None = None) -> DataF
     """instrument_id, region_id, is_reverter: ids are dealt to regions in list order, n_stocks to each."""
     upto = F.sum("n_stocks").over(Window.orderBy("region_id"))
     ranged = regions.select("region_id", "n_stocks", (upto - F.col("n_stocks")).alias("first"), upto.alias("upto")).where("n_stocks > 0")
-    ids = ranged.select(F.explode(F.sequence("first", F.col("upto") - 1)).cast("long").alias("instrument_id"), "region_id")
+    ids = ranged.select(F.explode(F.sequence("first", F.col("upto") - 1)).alias("instrument_id"), "region_id").withColumn("instrument_id", F.col("instrument_id").cast("long"))
     if reverters is None:
         return ids.withColumn("is_reverter", F.lit(0))
     flags = reverters.select(F.col("instrument_id").cast("long").alias("instrument_id")).distinct().withColumn("flag", F.lit(1))
