@@ -113,10 +113,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("first", _words(F.col("text")))
     told = rows.where("own").select("block", "rn", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
-    words = rows.select("block", "rn", F.size("first").alias("n_first"), F.posexplode(F.concat("first", _words(F.col("edited")))).alias("pos", "word"))
+    words = rows.select("block", "rn", "doc_id", F.size("first").alias("n_first"), F.posexplode(F.concat("first", _words(F.col("edited")))).alias("pos", "word"))
     mine = (F.col("pos") < F.col("n_first")).cast("int")
-    counted = words.select("block", "rn", F.when(F.col("word") != "", F.xxhash64("word")).alias("term"), mine.alias("a"), (1 - mine).alias("b"))
-    counted = counted.groupBy("block", "rn", "term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    counted = words.select("block", "rn", "doc_id", F.when(F.col("word") != "", F.xxhash64("word")).alias("term"), mine.alias("a"), (1 - mine).alias("b"))
+    # doc_id is a key here so that both branches read the same exchange of texts
+    counted = counted.groupBy("block", "rn", "doc_id", "term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     log = lambda c: F.when((F.col(c) > 0) & F.col("term").isNotNull(), F.log(F.col(c).cast("double")))
     weighed = counted.select("block", "rn", "term", log("a").alias("wa"), log("b").alias("wb"), F.coalesce(F.shiftrightunsigned("term", 64 - STRATA_BITS), F.lit(0)).cast("int").alias("group"))
     mins = [F.min(sample(F.col("term"), F.col(w), i)).alias(f"{w}{i}") for i in range(LANES) for w in ("wa", "wb")]
