@@ -16,7 +16,7 @@ from tidemark.llm.common import WORD, staged
 #: Weights of the sources in order, repeating; share of all sizes that the mix takes; times that a source may repeat.
 WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
 #: Bits of the random number; a range of it holds about so many rows of the table, or half.
-BITS, RANGE_ROWS = 60, 8192
+BITS, RANGE_ROWS = 60, 1024
 
 
 def random_key(key: Column, seed: str) -> Column:
