@@ -2,8 +2,9 @@
 
 One pass over the corpus finds, for each text, the places where a word n-gram of an item stands, and keeps the words
 around them as a passage no longer than the item and a margin. The passages give each n-gram's document frequency over
-the whole corpus; of an item's n-grams those no more frequent than its median one are rare, so each item keeps at least
-half of its seeds. Passages with a rare seed are aligned with the item, word by word.
+the whole corpus; of an item's n-grams those that are not some times as frequent as its median one are rare, so what
+stands in many copies of an item stays rare and a common turn of phrase doesn't. Passages with a rare seed are aligned
+with the item, word by word. A copy in which no n-gram of the item is left whole is not found.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from tidemark.llm.common import input_columns, row_key, staged
 
 #: Words of a seed; share of an item's greatest alignment score from which a passage is a copy of it.
 SEED, SCORE = 5, 0.6
+#: A seed is rare up to so many times its item's median frequency, and so many more.
+RARE = 8
 #: Alignment scores: a word that agrees, one that differs, one that is left out or put in.
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 #: n-grams of items that are sent to the executors at once; a benchmark with more is taken in blocks.
@@ -181,7 +184,7 @@ def _leaks_of(docs: DataFrame, items: Items, least: float) -> DataFrame:
     df = np.zeros(items.grams, np.int64)
     for g, c in counted.collect():  # at most a block's n-grams
         df[g] = c
-    rare = [frozenset(g for g in own if df[g] <= np.median(df[own])) for own in items.seeds]
+    rare = [frozenset(g for g in own if df[g] <= RARE * (np.median(df[own]) + 1)) for own in items.seeds]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
