@@ -133,21 +133,31 @@ class RunIndex:
         text[stops] = np.arange(m)  # each stop differs from all, so that no match passes one
         self.text, self.starts = text, np.concatenate(([0], stops[:-1] + 1))
         self.levels: list[tuple[int, np.ndarray]] = []
-        rank, width = text, 1
-        order = np.argsort(rank, kind="stable")
-        while True:  # to the full order: two suffixes part at a stop at the latest
+        base = 257 + m
+        width = self.first = 4 if base**4 < 1 << 62 else 2
+        padded, key = np.concatenate([text + 1, np.zeros(width, np.int64)]), np.zeros(n, np.int64)
+        for j in range(width):
+            key = key * base + padded[j : j + n]
+        order = np.argsort(key)
+        key = key[order]
+        new, rank, slots = np.concatenate(([True], key[1:] != key[:-1])), np.empty(n, np.int64), np.arange(n)
+        rank[order] = np.maximum.accumulate(np.where(new, slots, 0))
+        while True:  # to the full order: two suffixes part at a stop at the latest; a rank is the first place of its group
             self.levels.append((width, rank.astype(np.int32)))
-            after = np.full(n, -1, np.int64)
-            after[: n - width] = rank[width:]
-            both = rank * (n + 1 + 256 + m) + after + 1
-            order = np.argsort(both, kind="stable")
-            new = np.cumsum(np.concatenate(([0], both[order][1:] != both[order][:-1])))
-            rank = np.empty(n, np.int64)
-            rank[order] = new
-            width *= 2
-            if new[-1] == n - 1:
-                self.levels.append((width, rank))
+            slots = np.flatnonzero(~(new & np.append(new[1:], True)))
+            if not len(slots):
                 break
+            part = order[slots]
+            after = np.zeros(len(part), np.int64)
+            inside = part + width < n
+            after[inside] = rank[part[inside] + width] + 1
+            key = rank[part] * (n + 1) + after
+            by = np.argsort(key)
+            part, key = part[by], key[by]
+            order[slots] = part
+            new[slots] = np.concatenate(([True], key[1:] != key[:-1]))
+            rank[part] = np.maximum.accumulate(np.where(new[slots], slots, 0))
+            width *= 2
         bwt = text[order - 1]
         heads = np.flatnonzero(np.concatenate(([True], (bwt[1:] != bwt[:-1]) | (bwt[1:] < m))))[1:]
         at, before = order[heads], order[heads - 1]
@@ -157,7 +167,7 @@ class RunIndex:
         self.runs = len(heads) + 1
 
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Common prefix of the suffixes at a and b: the kept ranks from wide to narrow, then again the narrow ones."""
+        """Common prefix of the suffixes at a and b: the kept ranks from wide to narrow, then symbol by symbol."""
         a, b, out, n = a.copy(), b.copy(), np.zeros(len(a), np.int64), len(self.text)
         for width, rank in [*reversed(self.levels)]:
             for _ in range(2 if width == self.levels[-1][0] else 1):
@@ -166,6 +176,12 @@ class RunIndex:
                 a[ok] += width
                 b[ok] += width
                 out[ok] += width
+        for _ in range(self.first - 1):
+            ok = (a < n) & (b < n)
+            ok[ok] = self.text[a[ok]] == self.text[b[ok]]
+            a[ok] += 1
+            b[ok] += 1
+            out[ok] += 1
         return out
 
     def repeated(self, least: int = WIDTH) -> np.ndarray:
