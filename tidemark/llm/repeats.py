@@ -1,7 +1,7 @@
 """Removal of repeated passages with run-length compressed BWT indexes.
 
 Every window of WIDTH bytes holds an anchor: its k-gram of least hash, chosen by the bytes alone, so equal windows have
-equal anchors at equal places. What lies within a window's reach of an anchor is its context. Contexts meet by anchor:
+equal anchors at equal places. The windows that have an anchor as their least k-gram are its context. Contexts meet by anchor:
 
 * where all of a context stands twice, it is marked at once (hashes of contexts are enough for that);
 * the other contexts of an anchor, with one for each kind that stands twice, are put into blocks; of each block a
@@ -58,11 +58,12 @@ def _slide(x: np.ndarray, w: int, best: np.ufunc, pad) -> np.ndarray:
     return best(right[: n - w + 1], left[w - 1 :])
 
 
-def anchors(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of anchors of texts laid end to end (ends: where each stops). No window crosses an end."""
+def anchors(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and hashes of anchors of texts laid end to end (ends: where each stops), and the first and last start of
+    the windows that have it as their least gram. No window crosses an end."""
     n, w = len(raw), WIDTH - GRAM + 1
     if n < WIDTH:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     with np.errstate(over="ignore"):
         p = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTER[raw] * _power(_BASE, n))])
         h = (p[GRAM:] - p[:-GRAM]) * _power(_BACK, n - GRAM + 1)
@@ -81,7 +82,14 @@ def anchors(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     wide = np.concatenate([np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)])
     most = _slide(wide, w, np.maximum, np.uint64(0))
     at = np.flatnonzero((most == h) & (h != 0))
-    return at, h[at]
+    heads = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))  # runs of windows with equal least grams
+    tails = np.append(heads[1:], len(least)) - 1
+    run = np.searchsorted(heads, np.maximum(at - w + 1, 0), side="right") - 1
+    left = np.arange(len(at))
+    while len(left):  # to the first run that has the anchor's gram; one is within the reach of every anchor
+        left = left[least[heads[run[left]]] != h[at[left]]]
+        run[left] += 1
+    return at, h[at], np.maximum(heads[run], at - w + 1), np.minimum(tails[run], at)
 
 
 def _groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
@@ -95,11 +103,6 @@ def _groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def _reach(pos: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of context before and from the anchor's start on."""
-    return np.minimum(pos, WIDTH - GRAM), np.minimum(size - pos, WIDTH)
-
-
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     h64 = xxhash.xxh3_64_intdigest
     for b in batches:
@@ -107,13 +110,10 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, to in _groups([t.size for t in texts]):
             joined = b"".join(memoryview(t) for t in texts[at:to])
             ends = np.cumsum([t.size for t in texts[at:to]])
-            pos, g = anchors(np.frombuffer(joined, np.uint8), ends)
+            pos, g, low, high = anchors(np.frombuffer(joined, np.uint8), ends)
             doc = np.searchsorted(ends, pos, side="right")
             start = np.concatenate(([0], ends[:-1]))[doc]
-            size = (ends[doc] - start).astype(np.int64)
-            left, right = _reach(pos - start, size)
-            ok = left + right >= WIDTH
-            pos, g, doc, start, left, right = (x[ok] for x in (pos, g, doc, start, left, right))
+            left, right = pos - low, high + WIDTH - pos
             c = np.array([h64(joined[i:j], int(k)) for i, j, k in zip((pos - left).tolist(), (pos + right).tolist(), left.tolist(), strict=True)], np.uint64)
             if len(pos):
                 yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array(keys[at:to][doc]), pa.array((pos - start).astype(np.int32)), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32))], names=["node", "hull", "key", "pos", "left", "right"])
