@@ -299,9 +299,9 @@ _SPLIT = "node long, hull long, low int, high int, key long, pos int, left int,
 
 def _kinds(rows: DataFrame) -> DataFrame:
     """node, hull, n (rows of this hull), kinds (hulls of the node), one (key and pos of its first row); for nodes of two
-    rows or more."""
-    kinds = rows.groupBy("node", "hull").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "pos")).alias("one"))
-    nodes = kinds.groupBy("node").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all")).where("all > 1")
+    rows or more. The sums per node are written first: a join with a plain table can be split where a node is hot."""
+    kinds = staged(rows.groupBy("node", "hull").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "pos")).alias("one")), "hulls")
+    nodes = staged(kinds.groupBy("node").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all")).where("all > 1"), "nodes")
     return staged(kinds.join(nodes, "node").select("node", "hull", "n", "kinds", "one"), "kinds")
 
 
@@ -310,7 +310,7 @@ def marks(docs: DataFrame) -> DataFrame:
     docs: key, text."""
     session = docs.sparkSession
     found = staged(docs.mapInArrow(_find, "node long, hull long, key long, pos int, left int, right int"), "anchors")
-    again = found.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
+    again = staged(found.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node"), "nodes-again")
     found = staged(found.join(again, "node", "left_semi"), "repeated-anchors")
     told = staged(found.join(_kinds(found), ["node", "hull"]), "met-anchors")
     done = told.where("n > 1").select("key", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("stop"))
