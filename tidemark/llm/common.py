@@ -34,6 +34,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Removes staged tables that nothing reads any more, on whatever store they lie."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        for file in df.inputFiles()[:1]:
+            at = jvm.org.apache.hadoop.fs.Path(file).getParent()
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def row_key(doc_id: Column, text: Column) -> Column:
     """64 bits of id and text: what tells rows apart, also where ids are null or repeat."""
     return F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("null")), text)

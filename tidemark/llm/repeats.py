@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import input_columns, row_key, staged
+from tidemark.llm.common import discard, input_columns, row_key, staged
 
 WIDTH, GRAM = 400, 32
 #: Contexts of one anchor that go into a block at most, and of a block about.
@@ -302,17 +302,22 @@ def _kinds(rows: DataFrame) -> DataFrame:
     rows or more. The sums per node are written first: a join with a plain table can be split where a node is hot."""
     kinds = staged(rows.groupBy("node", "hull").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "pos")).alias("one")), "hulls")
     nodes = staged(kinds.groupBy("node").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all")).where("all > 1"), "nodes")
-    return staged(kinds.join(nodes, "node").select("node", "hull", "n", "kinds", "one"), "kinds")
+    told = staged(kinds.join(nodes, "node").select("node", "hull", "n", "kinds", "one"), "kinds")
+    discard(kinds, nodes)
+    return told
 
 
 def marks(docs: DataFrame) -> DataFrame:
     """key, start, stop: byte ranges that windows of WIDTH bytes cover which start anywhere else too; they may overlap.
     docs: key, text."""
     session = docs.sparkSession
-    found = staged(docs.mapInArrow(_find, "node long, hull long, key long, pos int, left int, right int"), "anchors")
-    again = staged(found.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node"), "nodes-again")
-    found = staged(found.join(again, "node", "left_semi"), "repeated-anchors")
-    told = staged(found.join(_kinds(found), ["node", "hull"]), "met-anchors")
+    every = staged(docs.mapInArrow(_find, "node long, hull long, key long, pos int, left int, right int"), "anchors")
+    again = staged(every.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node"), "nodes-again")
+    found = staged(every.join(again, "node", "left_semi"), "repeated-anchors")
+    discard(every, again)
+    kinds = _kinds(found)
+    told = staged(found.join(kinds, ["node", "hull"]), "met-anchors")
+    discard(found, kinds)
     done = told.where("n > 1").select("key", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("stop"))
     open_ = told.where((F.col("kinds") > 1) & ((F.col("n") == 1) | (F.struct("key", "pos") == F.col("one"))))
     wanted = open_.select("key", "node", "pos", "left", "right").distinct().groupBy("key").agg(F.collect_list(F.struct("node", "pos", "left", "right")).alias("wanted"))
@@ -329,8 +334,10 @@ def marks(docs: DataFrame) -> DataFrame:
         crowd = rows.join(crowds, "node")
         whole = crowd.where("low = high").select("key", (F.col("pos") + F.col("low")).alias("start"), (F.col("pos") + F.col("low") + WIDTH).alias("stop"))
         done = done.unionByName(whole)
-        parts = staged(crowd.where("low < high").drop("size").mapInArrow(_split, _SPLIT), "cores")
-        parts = staged(parts.join(_kinds(parts), ["node", "hull"]), "met-cores")
+        cores = staged(crowd.where("low < high").drop("size").mapInArrow(_split, _SPLIT), "cores")
+        kinds = _kinds(cores)
+        parts = staged(cores.join(kinds, ["node", "hull"]), "met-cores")
+        discard(cores, kinds)
         alike = parts.where((F.col("n") > 1) & (F.col("e") - F.col("s") >= WIDTH))
         done = done.unionByName(alike.select("key", (F.col("pos") + F.col("s")).alias("start"), (F.col("pos") + F.col("e")).alias("stop")))
         rows = parts.where((F.col("kinds") > 1) & ((F.col("n") == 1) | (F.struct("key", "pos") == F.col("one")))).select("node", "key", "pos", "left", "raw", "low", "high")
