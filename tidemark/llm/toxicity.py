@@ -146,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Lexicon:
 
 
 def score_texts(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> DataFrame:
-    """doc_id, held_out, score, predicted, n_matches of every row. A null text is empty; repeated rows score alike; no
+    """doc_id, held_out, score, predicted of every row. A null text is empty; repeated rows score alike; no
     labelled row gives an empty lexicon, which scores all alike. One pass without a shuffle."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
