@@ -35,12 +35,11 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = ticks(spark, sf_dir).where("event_id % 5 = 0")
-    return t.select("event_id", "instrument_id", (F.col("ts_ns") + (F.col("event_id") % 7 - 3) * 3600 * NS).alias("t_ns"))
+    return ticks(spark, sf_dir).select("event_id", "instrument_id", (F.col("ts_ns") + (F.col("event_id") % 7 - 3) * 3600 * NS).alias("t_ns"))
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = ticks(spark, sf_dir).where("event_type = 'purchase'")
+    t = ticks(spark, sf_dir)
     entry = F.col("ts_ns") + (F.col("event_id") % 3 - 1) * 1800 * NS
     return t.select(F.col("event_id").alias("trade_id"), "instrument_id", F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1).alias("side"), (1 + F.col("event_id") % 100).alias("quantity"), entry.alias("entry_ts_ns"), (entry + (F.col("event_id") % 72) * 3600 * NS).alias("exit_ts_ns"))
 
@@ -176,19 +175,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _TICKS = "t AS (SELECT user_id AS instrument_id, epoch_us(ts) * 1000 AS ts_ns, CAST(value AS FLOAT) AS price, CAST(json_extract_string(props, '$.k') AS INTEGER) AS volume, event_id, event_type FROM events)"
-_PROBES = "p AS (SELECT event_id, instrument_id, ts_ns + (event_id % 7 - 3) * 3600000000000 AS t_ns FROM t WHERE event_id % 5 = 0)"
+_PROBES = "p AS (SELECT event_id, instrument_id, ts_ns + (event_id % 7 - 3) * 3600000000000 AS t_ns FROM t)"
 _ASOF = f"WITH {_TICKS}, {_PROBES} SELECT p.*, t.ts_ns, t.price FROM p ASOF LEFT JOIN t ON p.instrument_id = t.instrument_id AND p.t_ns @ t.ts_ns"
 _PRICED = f"""WITH {_TICKS}, q AS (
   SELECT event_id AS trade_id, instrument_id, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS side, 1 + event_id % 100 AS quantity,
          ts_ns + (event_id % 3 - 1) * 1800000000000 AS t_in, ts_ns + (event_id % 3 - 1) * 1800000000000 + (event_id % 72) * 3600000000000 AS t_out
-  FROM t WHERE event_type = 'purchase'
+  FROM t
 ), a AS (SELECT q.*, t.ts_ns AS i_ns, t.price AS i_price FROM q ASOF LEFT JOIN t ON q.instrument_id = t.instrument_id AND q.t_in <= t.ts_ns),
 b AS (SELECT a.*, t.ts_ns AS o_ns, t.price AS o_price FROM a ASOF LEFT JOIN t ON a.instrument_id = t.instrument_id AND a.t_out >= t.ts_ns),
 c AS (SELECT *, CASE WHEN i_ns IS NULL OR o_ns IS NULL OR o_ns < i_ns THEN 1 ELSE 0 END AS status FROM b),
 x AS (SELECT c.trade_id, min(t.price) AS lo, max(t.price) AS hi FROM c JOIN t ON c.instrument_id = t.instrument_id AND t.ts_ns BETWEEN c.i_ns AND c.o_ns WHERE status = 0 GROUP BY 1),
 priced AS (SELECT c.trade_id, status, CASE WHEN status = 0 THEN i_ns END AS entry_ts_ns, CASE WHEN status = 0 THEN o_ns END AS exit_ts_ns,
   CASE WHEN status = 0 THEN i_price END AS entry_price, CASE WHEN status = 0 THEN o_price END AS exit_price,
-  CASE WHEN status = 0 THEN round(side * quantity * (o_price::DOUBLE - i_price::DOUBLE), 4) END AS pnl,
+  CASE WHEN status = 0 THEN round(side * quantity * (o_price::DOUBLE - i_price::DOUBLE), 4) + 0.0 END AS pnl,
   CASE WHEN status = 0 THEN round(greatest(0, CASE WHEN side > 0 THEN i_price::DOUBLE - lo::DOUBLE ELSE hi::DOUBLE - i_price::DOUBLE END) * quantity, 4) END AS mae
   FROM c LEFT JOIN x USING (trade_id))"""
 _CALENDAR = """r AS (SELECT * FROM (VALUES
