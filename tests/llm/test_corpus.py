@@ -118,7 +118,7 @@ def test_mixing(spark, odd, none, tables):
     assert out.columns == odd.columns and sum(len((r["text"] or "").split()) for r in out.collect()) == sum(r["taken"] for r in mixing.mix(odd).collect())
 
 
-def test_shards(spark, odd, none, tables):
+def test_shards(spark, odd, none, tables, monkeypatch):
     docs = table(spark, tables, "documents")
     got = sharding.shards(docs, 20_000).collect()
     sums = Counter()
@@ -132,6 +132,13 @@ def test_shards(spark, odd, none, tables):
         assert len(k) < 1 or k == "*" or sum(v for n, v in sums.items() if n.startswith(k[:-1])) > 20_000
     same = spark.createDataFrame([(1, "z" * 90)] * 7, "doc_id long, text string")
     assert sorted(Counter(r["shard"] for r in sharding.shards(same, 200).collect()).values()) == [1, 2, 2, 2]
+    monkeypatch.setattr(sharding, "CROWD_ROWS", 2)  # many salts give the same chunks
+    assert sorted(Counter(r["shard"] for r in sharding.shards(same, 200).collect()).values()) == [1, 2, 2, 2]
+    copies = spark.range(900).selectExpr("cast(1 as long) as doc_id", "repeat('z', 90) as text").union(docs.select("doc_id", "text"))
+    sums = Counter()
+    for r in sharding.shards(copies, 20_000).collect():
+        sums[r["shard"]] += r["n_bytes"]
+    assert sum(sums.values()) == 81_000 + sum(r["n_bytes"] for r in got) and sum("." in k for k in sums) == 4
     assert sharding.shards(none).count() == 0 and sharding.sharded(odd).columns == [*odd.columns, "shard_id", "shard_bytes"]
 
 

@@ -16,6 +16,8 @@ from tidemark.llm.common import staged
 LIMIT, BITS = 8 << 20, 40
 #: Bits more than the mean needs that a first directory has, and that a later one adds.
 SLACK = 6
+#: Rows of a bucket of repeated rows that are numbered in one task, about, if all rows are such.
+CROWD_ROWS = 100_000
 
 
 def assigned(docs: DataFrame, *more, limit: int = LIMIT) -> DataFrame:
@@ -23,12 +25,13 @@ def assigned(docs: DataFrame, *more, limit: int = LIMIT) -> DataFrame:
 
     The hash is of id and text, so neither a hot id nor a hot text fills one bucket unless both repeat. A bucket stays at
     the smallest depth at which it fits. Rows that agree in all BITS bits (repeated rows) can't be told apart by the hash:
-    their bucket is cut into chunks by a running sum; a single row over the limit is a chunk alone. Null text: 0 bytes."""
+    their bucket is cut into chunks of as many rows as surely fit; a single row over the limit is a chunk alone. Null
+    text: 0 bytes."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(" "), F.md5(text.cast("binary")))
     hashed = F.shiftright(F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("long"), 60 - BITS)
-    rows = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), hashed.alias("h"), *more), "shard-rows")
-    total = rows.agg(F.sum("n_bytes")).first()[0] or 0
+    rows = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), hashed.alias("h"), F.monotonically_increasing_id().alias("uid"), *more), "shard-rows")
+    total, count = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count(F.lit(1))).first()
     done, left, depth, top = None, rows, 0, min(BITS, (total // limit).bit_length() + SLACK)
     while True:
         at = F.shiftright("h", BITS - top)
@@ -48,11 +51,18 @@ def assigned(docs: DataFrame, *more, limit: int = LIMIT) -> DataFrame:
     full = (F.col("depth") == BITS) & (F.col("shard_bytes") > limit)
     fits = done.where(~full).withColumn("chunk", F.lit(0).cast("long"))
     if top < BITS:
-        return fits.drop("h")
-    per = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.max("n_bytes").over(Window.partitionBy("bucket")), F.lit(1))))
-    number = F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id", "n_bytes")) - 1
-    cut = done.where(full).withColumn("chunk", F.floor(number / per)).withColumn("shard_bytes", F.sum("n_bytes").over(Window.partitionBy("bucket", "chunk")))
-    return fits.unionByName(cut).drop("h")
+        return fits.drop("h", "uid")
+    # rows are numbered by salt, from sums per salt, so that no task sees a whole bucket
+    crowd = staged(done.where(full).withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(count // CROWD_ROWS + 1))), "shard-crowd")
+    whole = Window.partitionBy("bucket")
+    earlier = whole.orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    parts = crowd.groupBy("bucket", "salt").agg(F.count(F.lit(1)).alias("n"), F.max("n_bytes").alias("most"))
+    per = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.max("most").over(whole), F.lit(1))))
+    parts = parts.select("bucket", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"), per.alias("per"))
+    number = F.col("base") + F.row_number().over(Window.partitionBy("bucket", "salt").orderBy("uid")) - 1
+    cut = crowd.join(parts, ["bucket", "salt"]).withColumn("chunk", F.floor(number / F.col("per"))).drop("salt", "base", "per")
+    cut = cut.withColumn("shard_bytes", F.sum("n_bytes").over(Window.partitionBy("bucket", "chunk")))
+    return fits.unionByName(cut).drop("h", "uid")
 
 
 def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
