@@ -1,6 +1,7 @@
 """Operators that work text by text, against plain Python, libraries and held-out rows."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -173,3 +174,17 @@ def test_leaks_against_every_pair(spark, odd, none):
     empty = bench.limit(0)
     assert decontaminate.leaks(odd, bench).count() == 0 and decontaminate.leaks(none, bench).count() == 0
     assert decontaminate.clean(odd, empty).columns == odd.columns and decontaminate.clean(odd, empty).count() == odd.count()
+
+
+def test_many_rows_of_one_edited_copy_leak(spark):
+    rng = np.random.default_rng(21)
+    item = [f"t{i}" for i in range(37)]
+    edited = [f"x{i}" if i % 7 == 6 else w for i, w in enumerate(item)]  # under half of the 5-word n-grams are whole
+    assert decontaminate.align(item, edited)[0] / 37 > decontaminate.SCORE
+    noise = lambda n: [f"v{x}" for x in rng.integers(0, 4000, n)]
+    rows = [(d, " ".join(noise(60) + edited + noise(60))) for d in range(50)]
+    rows += [(100 + d, " ".join(noise(60) + item[:5] + noise(60))) for d in range(50)]  # a turn of phrase alone is no copy
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {r["doc_id"] for r in got} == set(range(50))
+    assert decontaminate.reachable(Counter(["a", "a", "b"]), ["a", "c", "a", "a"]) == 2

@@ -4,13 +4,15 @@ One pass over the corpus finds, for each text, the places where a word n-gram of
 around them as a passage no longer than the item and a margin. The passages give each n-gram's document frequency over
 the whole corpus; of an item's n-grams those that are not some times as frequent as its median one are rare, so what
 stands in many copies of an item stays rare and a common turn of phrase doesn't. Passages with a rare seed are aligned
-with the item, word by word. A copy in which no n-gram of the item is left whole is not found.
+with the item, word by word. Rarity discards nothing: of the others, those are aligned too that have words enough of the
+item to reach the score. A copy in which no n-gram of the item is left whole is not found.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -65,6 +67,11 @@ def align(item: list[str], passage: list[str]) -> tuple[float, int, int]:
     return best
 
 
+def reachable(item: Counter[str], passage: list[str]) -> float:
+    """What no alignment's score passes: the words that both have, as often as both have them."""
+    return MATCH * sum(min(n, item[w]) for w, n in Counter(w for w in passage if w in item).items())
+
+
 class Items:
     """Words, seeds and where each seed stands, of one block of the benchmark."""
 
@@ -184,6 +191,7 @@ def _leaks_of(docs: DataFrame, items: Items, least: float) -> DataFrame:
     df = np.zeros(items.grams, np.int64)
     for g, c in counted.collect():  # at most a block's n-grams
         df[g] = c
+    bags = [Counter(ws) for ws in items.words]
     rare = [frozenset(g for g in own if df[g] <= RARE * (np.median(df[own]) + 1)) for own in items.seeds]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,14 +200,16 @@ def _leaks_of(docs: DataFrame, items: Items, least: float) -> DataFrame:
         for b in batches:
             rows = []
             for key, i, k, seeds, low, passage in zip(*(b.column(c).to_pylist() for c in b.schema.names), strict=True):
-                if rare[k].isdisjoint(seeds):
-                    continue
+                best = MATCH * len(items.words[k])
                 if (k, passage) not in known:
+                    ws = passage.split(" ")
+                    if rare[k].isdisjoint(seeds) and reachable(bags[k], ws) / best < least:
+                        continue
                     if len(known) > 20_000:
                         known.clear()
-                    known[k, passage] = align(items.words[k], passage.split(" "))
+                    known[k, passage] = align(items.words[k], ws)
                 s, a, z = known[k, passage]
-                s /= MATCH * len(items.words[k])
+                s /= best
                 if s >= least:
                     rows.append((key, i, items.names[k], s, low + a, z - a))
             if rows:
