@@ -8,7 +8,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from tidemark.llm import mixing, repeats, sharding, simhash
+from tidemark.llm import mixing, nearcopies, repeats, sharding, simhash
 from tidemark.llm.common import table
 from tidemark.llm.components import components
 
@@ -71,6 +71,41 @@ def test_near_fingerprints_meet():
     assert (np.abs(a - b).max(1) <= 2).all() and (p.keys(a) == p.keys(b)).any(1).all()
 
 
+def slow_shingles(text):
+    ws = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", (text or "").translate({i: i + 32 for i in range(65, 91)})) if w]
+    return frozenset(tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))) if ws else frozenset()
+
+
+def slow_keep(rows):
+    """(doc_id, text) of the rows that stay: of each component of 5-word Jaccard >= 0.8 the least id, null ids last."""
+    sets = [slow_shingles(t) for _, t in rows]
+    near = lambda a, b: a == b or len(a & b) * 10 >= 8 * len(a | b)
+    root = groups_of([(i, j) for i in range(len(rows)) for j in range(i) if near(sets[i], sets[j])], range(len(rows)))
+    best = {}
+    for k, (d, _) in enumerate(rows):
+        best.setdefault(root[k], []).append((d is None, d or 0))
+    return Counter(min(v) for v in best.values())
+
+
+@pytest.mark.parametrize("paired", [64, 2])
+def test_near_copies(spark, odd, none, tables, paired, monkeypatch):
+    monkeypatch.setattr(nearcopies, "PAIRED", paired)
+    rng = np.random.default_rng(8)
+    base = [f"n{x}" for x in rng.integers(0, 900, 300)]
+    rows = [(r["doc_id"], r["text"]) for r in table(spark, tables, "documents").collect()]
+    for k in range(30):  # copies with zero to eleven words changed: similar to the base up to about six
+        copy = list(base)
+        for at in rng.choice(300, k % 12, replace=False):
+            copy[at] = f"e{k}x{at}"
+        rows.append((9000 + k, " ".join(copy)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for docs in (frame, odd):
+        want = slow_keep([(r["doc_id"], r["text"]) for r in docs.collect()])
+        out = corpus_pipeline.distinct(spark, docs, tables)
+        assert Counter((r["doc_id"] is None, r["doc_id"] or 0) for r in out.collect()) == want and out.columns == docs.columns
+    assert nearcopies.keep_one(none).count() == 0
+
+
 def slow_repeats(texts, width):
     count = Counter(t[i : i + width] for t in texts for i in range(len(t) - width + 1))
     out = []

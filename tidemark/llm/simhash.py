@@ -32,9 +32,13 @@ _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _TABLE = bytes(_LOWER[_SPACES[i]] for i in range(256))
 
 
+def split_words(text: str) -> list[bytes]:
+    return text.encode().translate(_TABLE).split()
+
+
 def fingerprint(text: str, size: int = SHINGLE) -> int:
     """64 bits; a bit is set if it is in over half the XXH64 (seed 42) of all word shingles, repeats included."""
-    words = text.encode().translate(_TABLE).split()
+    words = split_words(text)
     if not words:
         return 0
     line = b" ".join(words)
@@ -192,7 +196,11 @@ def digest(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """Of each component the row with its smallest doc_id, all columns as they were; a component without ids and repeated
     rows keep one row too. Texts are dealt once, by row key, against the keys that stay."""
-    told = near_duplicates(docs)
+    return keep_least(docs, near_duplicates(docs))
+
+
+def keep_least(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """Of the rows of each root in told (doc_id, key, root) the one that keep_one keeps."""
     best = told.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best"))
     keep = staged(best.select(F.col("best.key").alias("__key")).distinct(), "kept-keys")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
