@@ -121,6 +121,16 @@ def test_fingerprints(spark, odd, none, tables):
     assert one["near_next"] == 1.0
 
 
+def test_fingerprints_of_skewed_weights(spark):
+    """Words that stand a thousand times weigh as such: the mean over texts is the exact similarity, 0.96."""
+    near = []
+    for k in range(4):
+        pair = [(i, " ".join([f"buy{k}"] * 1000 + [f"w{k}x{i}x{j}" for j in range(20)])) for i in range(2)]
+        near += [r["near_next"] for r in cws.fingerprints(spark.createDataFrame(pair, "doc_id long, text string")).collect()]
+        assert abs(jaccard(pair[0][1], pair[1][1]) - 1000 / 1040) < 1e-9
+    assert abs(np.mean(near) - 1000 / 1040) < 0.1
+
+
 def test_blocks_of_neighbours(spark, odd):
     rows = spark.range(500).selectExpr("id * 7 as doc_id", "concat('t ', id) as text")
     got = cws.neighbours(rows, 64).where("own").collect()

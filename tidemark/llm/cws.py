@@ -4,8 +4,8 @@ For a term k of weight w and sample s: r, c ~ Gamma(2, 1) and b ~ U(0, 1) are fi
 t = floor(ln w / r + b), ln a = ln c - r (t - b + 1), and the sample is the (k, t) of least a over all terms. As a is a
 function of (k, t, s) alone, equal least values stand for equal samples, so a minimum of doubles keeps the whole sample;
 the share of equal samples of two texts has the generalised Jaccard similarity of their term weights as its mean.
-Terms are lower-cased words, weights their counts. Terms are dealt into strata by their hash and a sample is drawn from
-one stratum, so a term costs LANES samples, not all; strata that are empty in both texts don't count.
+Terms are lower-cased words, weights their counts. Each sample is drawn over all terms of a text. A term is repeated for
+each of GROUPS groups of LANES samples, so that the code of an aggregate stays small enough to be compiled.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql.window import Window
 
 from tidemark.llm.common import input_columns
 
-#: Terms fall into 2^STRATA_BITS strata by their hash, and each stratum has LANES samples; each shows as 8 hex digits.
-STRATA_BITS, LANES = 3, 8
+#: A text has GROUPS * LANES samples; each shows as 8 hex digits.
+GROUPS, LANES = 8, 8
 #: Bytes of text in a block of neighbours, about.
 BLOCK_BYTES = 2 << 20
 
@@ -27,9 +27,9 @@ def _uniform(h: Column, shift: int) -> Column:
     return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << 20) - 1)).cast("double") + 0.5) * (2.0**-20)
 
 
-def sample(term: Column, log_weight: Column, lane: int) -> Column:
+def sample(term: Column, log_weight: Column, lane: Column) -> Column:
     """ln a of a sample. term: a 64-bit hash; two hashes of it give five uniforms."""
-    g, h = F.xxhash64(term, F.lit(2 * lane)), F.xxhash64(term, F.lit(2 * lane + 1))
+    g, h = F.xxhash64(term, 2 * lane), F.xxhash64(term, 2 * lane + 1)
     r = -F.log(_uniform(g, 0) * _uniform(g, 20))
     c = F.log(-F.log(_uniform(h, 0) * _uniform(h, 20)))
     b = _uniform(g, 40) + F.shiftrightunsigned(h, 40).bitwiseAND(F.lit((1 << 20) - 1)).cast("double") * 2.0**-40
@@ -80,13 +80,13 @@ EMPTY = 0
 
 
 def _codes(names: list[str]) -> Column:
-    """32 bits of each sample, above 0; EMPTY in a stratum without terms."""
+    """32 bits of each sample, above 0; EMPTY in a text without terms."""
     code = lambda n: F.xxhash64(n).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(1))
     return F.array(*[F.when(F.col(n).isNull(), F.lit(EMPTY)).otherwise(code(n)).cast("long") for n in names])
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal samples among those of strata that have terms in either; 1 for two texts without any."""
+    """Share of equal samples; 1 for two texts without terms."""
     count = lambda hit: F.aggregate(F.zip_with(a, b, lambda x, y: hit(x, y).cast("int")), F.lit(0), lambda n, x: n + x)
     seen = count(lambda x, y: (x != EMPTY) | (y != EMPTY))
     return F.when(seen == 0, F.lit(1.0)).otherwise(count(lambda x, y: (x == y) & (x != EMPTY)) / seen)
@@ -119,13 +119,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     # doc_id is a key here so that both branches read the same exchange of texts
     counted = counted.groupBy("block", "rn", "doc_id", "term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     log = lambda c: F.when((F.col(c) > 0) & F.col("term").isNotNull(), F.log(F.col(c).cast("double")))
-    weighed = counted.select("block", "rn", "term", log("a").alias("wa"), log("b").alias("wb"), F.coalesce(F.shiftrightunsigned("term", 64 - STRATA_BITS), F.lit(0)).cast("int").alias("group"))
-    mins = [F.min(sample(F.col("term"), F.col(w), i)).alias(f"{w}{i}") for i in range(LANES) for w in ("wa", "wb")]
+    weighed = counted.select("block", "rn", "term", log("a").alias("wa"), log("b").alias("wb"), F.explode(F.array(*[F.lit(g) for g in range(GROUPS)])).alias("group"))
+    mins = [F.min(sample(F.col("term"), F.col(w), F.col("group") * LANES + i)).alias(f"{w}{i}") for i in range(LANES) for w in ("wa", "wb")]
     groups = weighed.groupBy("block", "rn", "group").agg(*mins)
     groups = groups.select("block", "rn", F.struct("group", F.struct(_codes([f"wa{i}" for i in range(LANES)]).alias("x"), _codes([f"wb{i}" for i in range(LANES)]).alias("y"))).alias("v"))
     found = groups.groupBy("block", "rn").agg(F.map_from_entries(F.collect_list("v")).alias("v"))
     none = F.array(*[F.lit(EMPTY).cast("long")] * LANES)
-    lanes = lambda c: F.flatten(F.array(*[F.coalesce(F.try_element_at("v", F.lit(g))[c], none) for g in range(1 << STRATA_BITS)]))
+    lanes = lambda c: F.flatten(F.array(*[F.coalesce(F.try_element_at("v", F.lit(g))[c], none) for g in range(GROUPS)]))
     found = found.select("block", "rn", lanes("x").alias("x"), lanes("y").alias("y")).withColumn("z", F.lead("x").over(Window.partitionBy("block").orderBy("rn")))
     told = told.join(found, ["block", "rn"])
     return told.select("doc_id", "n_chars", "edited_sha256", _shown(F.col("x")).alias("fingerprint"), _shown(F.col("y")).alias("edited_fingerprint"), likeness(F.col("x"), F.col("y")).alias("near_edited"), likeness(F.col("x"), F.col("z")).alias("near_next"))
