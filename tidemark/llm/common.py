@@ -1,14 +1,14 @@
-"""What the operators of this subpackage share: table paths, staged tables, Arrow batches."""
+"""What the operators of this subpackage share: table paths, staged tables, row keys."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import discard, new_path, run_dir, shared_dir, staged
+
+__all__ = ["WORD", "discard", "input_columns", "new_path", "row_key", "run_dir", "shared_dir", "staged", "table"]
+
 #: Characters that separate words: space and the controls tab to carriage return.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -17,35 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file://{tempfile.gettempdir()}/checkpoints/tidemark-{os.getuid()}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Removes staged tables that nothing reads any more, on whatever store they lie."""
-    for df in tables:
-        jvm = df.sparkSession._jvm
-        for file in df.inputFiles()[:1]:
-            at = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+def row_name(doc_id: Column, text: Column) -> Column:
+    """Hex of 128 bits of id and text: what tells rows apart, also where ids are null or repeat."""
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(" "), text).cast("binary"))
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
-    """64 bits of id and text: what tells rows apart, also where ids are null or repeat."""
-    return F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("null")), text)
+    """The same as 16 bytes."""
+    return F.unhex(row_name(doc_id, text))
 
 
 def input_columns(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

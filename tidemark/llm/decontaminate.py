@@ -151,8 +151,8 @@ class Items:
 def _blocks(benchmark: DataFrame, n: int) -> Iterator[Items]:
     """The benchmark's items in blocks of bounded size; a block is what the driver and each worker hold at once."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
-    mass = items.agg(F.sum(F.length("text"))).first()[0] or 0  # there are fewer n-grams than characters
-    blocks = math.ceil(mass / 4 / BLOCK_GRAMS)
+    mass = items.agg(F.sum(F.regexp_count("text", F.lit(r"(?U)\w+")) + 1)).first()[0] or 0  # an n-gram at most for each word, one for a short item
+    blocks = math.ceil(mass / BLOCK_GRAMS)
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).orderBy("item_id", "text")
         yield Items([tuple(r) for r in part.collect()], n)
@@ -169,14 +169,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = SEED, least: float = S
         part = _leaks_of(docs, items, least)
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = docs.sparkSession.createDataFrame([], "key long, doc_id long, item_id long, score double, start long, words long")
+        found = docs.sparkSession.createDataFrame([], "key binary, doc_id long, item_id long, score double, start long, words long")
     best = F.max(F.struct("score", (-F.col("start")).alias("s"), "words")).alias("b")
     return found.groupBy("key", "doc_id", "item_id").agg(best).select("key", "doc_id", "item_id", "b.score", (-F.col("b.s")).alias("start"), "b.words")
 
 
 def _leaks_of(docs: DataFrame, items: Items, least: float) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.string()]
+        kinds = [pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.string()]
         for b in batches:
             rows = []
             for key, i, t in zip(b.column("key"), b.column("doc_id"), b.column("text"), strict=True):
@@ -186,7 +186,7 @@ def _leaks_of(docs: DataFrame, items: Items, least: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "doc_id", "item", "seeds", "low", "passage"])
 
     rows = input_columns(docs).withColumn("key", row_key(F.col("doc_id"), F.col("text")))
-    found = staged(rows.mapInArrow(find, "key long, doc_id long, item int, seeds array<int>, low long, passage string"), "passages")
+    found = staged(rows.mapInArrow(find, "key binary, doc_id long, item int, seeds array<int>, low long, passage string"), "passages")
     counted = found.select(F.explode("seeds").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     df = np.zeros(items.grams, np.int64)
     for g, c in counted.collect():  # at most a block's n-grams
@@ -195,7 +195,7 @@ def _leaks_of(docs: DataFrame, items: Items, least: float) -> DataFrame:
     rare = [frozenset(g for g in own if df[g] <= RARE * (np.median(df[own]) + 1)) for own in items.seeds]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
         known: dict[tuple[int, str], tuple[float, int, int]] = {}
         for b in batches:
             rows = []
@@ -215,7 +215,7 @@ def _leaks_of(docs: DataFrame, items: Items, least: float) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "doc_id", "item_id", "score", "start", "words"])
 
-    return found.mapInArrow(score, "key long, doc_id long, item_id long, score double, start long, words long")
+    return found.mapInArrow(score, "key binary, doc_id long, item_id long, score double, start long, words long")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -106,7 +106,7 @@ def _groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     h64 = xxhash.xxh3_64_intdigest
     for b in batches:
-        keys, texts = b.column("key").to_numpy(zero_copy_only=False), [t.as_buffer() for t in b.column("text")]
+        keys, texts = b.column("key"), [t.as_buffer() for t in b.column("text")]
         for at, to in _groups([t.size for t in texts]):
             joined = b"".join(memoryview(t) for t in texts[at:to])
             ends = np.cumsum([t.size for t in texts[at:to]])
@@ -116,7 +116,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left, right = pos - low, high + WIDTH - pos
             c = np.array([h64(joined[i:j], int(k)) for i, j, k in zip((pos - left).tolist(), (pos + right).tolist(), left.tolist(), strict=True)], np.uint64)
             if len(pos):
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array(keys[at:to][doc]), pa.array((pos - start).astype(np.int32)), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32))], names=["node", "hull", "key", "pos", "left", "right"])
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), keys.take(pa.array(doc + at)), pa.array((pos - start).astype(np.int32)), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32))], names=["node", "hull", "key", "pos", "left", "right"])
 
 
 class RunIndex:
@@ -214,9 +214,9 @@ def _union(spans: list[tuple[int, int, bytes]]) -> list[tuple[int, bytes]]:
     return [(s, bytes(b)) for s, b in out]
 
 
-def mark_block(rows: list[tuple[int, int, bytes]]) -> list[tuple[int, int, int]]:
+def mark_block(rows: list[tuple[bytes, int, bytes]]) -> list[tuple[bytes, int, int]]:
     """(key, start, bytes) in, (key, start, end) of repeated runs out."""
-    by: dict[int, list] = {}
+    by: dict[bytes, list] = {}
     for key, start, raw in rows:
         by.setdefault(key, []).append((start, start + len(raw), raw))
     names, pieces = [], []
@@ -243,7 +243,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def told() -> pa.RecordBatch:
         marks = mark_block(rows)
         cols = list(zip(*marks, strict=True)) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], names=["key", "start", "stop"])
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], names=["key", "start", "stop"])
 
     for b in batches:
         for block, key, start, raw in zip(*(b.column(c).to_pylist() for c in ("block", "key", "start", "raw")), strict=True):
@@ -261,7 +261,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, mass = [], 0
 
         def told() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()], strict=True)], names=["node", "key", "pos", "left", "raw"])  # noqa: B023
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()], strict=True)], names=["node", "key", "pos", "left", "raw"])  # noqa: B023
 
         for key, text, wanted in zip(b.column("key"), b.column("text"), b.column("wanted"), strict=True):
             raw = text.as_buffer().to_pybytes()
@@ -290,11 +290,11 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 child = h64(raw[core[0] : core[1]] + node.to_bytes(8, "little", signed=True), z - low)
                 rows.append((child - (1 << 63), h64(raw[s:e], s - left + 1000) - (1 << 63), a, z, key, pos, left - s, s - left, e - left, raw[s:e]))
         if rows:
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["node", "hull", "low", "high", "key", "pos", "left", "s", "e", "raw"])
 
 
-_SPLIT = "node long, hull long, low int, high int, key long, pos int, left int, s int, e int, raw binary"
+_SPLIT = "node long, hull long, low int, high int, key binary, pos int, left int, s int, e int, raw binary"
 
 
 def _kinds(rows: DataFrame) -> DataFrame:
@@ -311,7 +311,7 @@ def marks(docs: DataFrame) -> DataFrame:
     """key, start, stop: byte ranges that windows of WIDTH bytes cover which start anywhere else too; they may overlap.
     docs: key, text."""
     session = docs.sparkSession
-    every = staged(docs.mapInArrow(_find, "node long, hull long, key long, pos int, left int, right int"), "anchors")
+    every = staged(docs.mapInArrow(_find, "node long, hull long, key binary, pos int, left int, right int"), "anchors")
     again = staged(every.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node"), "nodes-again")
     found = staged(every.join(again, "node", "left_semi"), "repeated-anchors")
     discard(every, again)
@@ -321,7 +321,7 @@ def marks(docs: DataFrame) -> DataFrame:
     done = told.where("n > 1").select("key", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("stop"))
     open_ = told.where((F.col("kinds") > 1) & ((F.col("n") == 1) | (F.struct("key", "pos") == F.col("one"))))
     wanted = open_.select("key", "node", "pos", "left", "right").distinct().groupBy("key").agg(F.collect_list(F.struct("node", "pos", "left", "right")).alias("wanted"))
-    rows = staged(docs.join(wanted, "key").mapInArrow(_contexts, "node long, key long, pos int, left int, raw binary"), "contexts")
+    rows = staged(docs.join(wanted, "key").mapInArrow(_contexts, "node long, key binary, pos int, left int, raw binary"), "contexts")
     rows = rows.withColumn("low", F.lit(GRAM - WIDTH)).withColumn("high", F.lit(0))
     small = None
     while True:
@@ -345,7 +345,7 @@ def marks(docs: DataFrame) -> DataFrame:
     blocks = max(1, -(-small.count() // BLOCK))
     tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), blocks // 8)
     small = small.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)))
-    indexed = small.repartition(tasks, "block").sortWithinPartitions("block").select("block", "key", "start", "raw").mapInArrow(_index, "key long, start int, stop int")
+    indexed = small.repartition(tasks, "block").sortWithinPartitions("block").select("block", "key", "start", "raw").mapInArrow(_index, "key binary, start int, stop int")
     return done.unionByName(indexed)
 
 
@@ -367,7 +367,7 @@ def removed(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()], strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     rows = input_columns(docs).withColumn("key", row_key(F.col("doc_id"), F.col("text")))
-    found = marks(rows.select("key", "text")).groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    found = marks(rows.select("key", "text")).groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))  # repeated rows give the same spans
     return rows.join(staged(found, "spans"), "key", "left").select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

@@ -55,14 +55,14 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
 
 
 def with_fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, key (a hash of id and text) and fp, the fingerprint as a signed long. One pass without a shuffle."""
+    """doc_id, key (128 bits of id and text) and fp, the fingerprint as a signed long. One pass without a shuffle."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_py()) for t in b.column("text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(fp)], names=["doc_id", "key", "fp"])
 
-    return input_columns(docs).withColumn("key", row_key(F.col("doc_id"), F.col("text"))).mapInArrow(add, "doc_id long, key long, fp long")
+    return input_columns(docs).withColumn("key", row_key(F.col("doc_id"), F.col("text"))).mapInArrow(add, "doc_id long, key binary, fp long")
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
