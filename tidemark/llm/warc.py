@@ -1,7 +1,8 @@
 """WARC archives: one gzip member per record, written from a table and read back sequentially.
 
-The reader inflates a stream chunk by chunk (zlib, incremental), frames each record by its Content-Length, starts anew
-at each member and verifies block and payload digests, so its memory follows its chunk size and the largest record.
+The reader inflates a stream chunk by chunk (zlib, incremental), frames each record by its Content-Length while it is being
+inflated, starts anew at each member and verifies block and payload digests, so its memory follows its chunk size and the
+largest record.
 """
 
 from __future__ import annotations
@@ -9,7 +10,6 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shared_dir, staged
+from tidemark.llm.common import new_path, staged
 
 #: Fixed values of the WARC 1.1 format.
 VERSION, PROFILE = "WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -41,9 +41,13 @@ class Record:
     payload: bytes
 
 
+def _base32(raw: bytes) -> str:
+    return base64.b32encode(raw).decode()
+
+
 def digest(data: bytes) -> str:
     """Bare upper-case base32 of SHA-1."""
-    return base64.b32encode(hashlib.sha1(data).digest()).decode()
+    return _base32(hashlib.sha1(data).digest())
 
 
 def one_line(value: str) -> str:
@@ -75,39 +79,73 @@ def _fields(head: bytes) -> tuple[str, dict[str, str]]:
     return first, dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines if x)
 
 
-def _parse(data: bytes) -> Record:
-    top, mark, rest = data.partition(b"\r\n\r\n")
-    version, headers = _fields(top)
-    if not mark or not version.startswith("WARC/"):
-        raise WarcError("no WARC header")
-    n = int(headers.get("Content-Length", -1))
-    block, tail = rest[:n], rest[n:]
-    if n < 0 or len(block) != n or tail != b"\r\n\r\n":
-        raise WarcError(f"{headers.get('WARC-Record-ID')}: the block isn't as long as Content-Length says")
-    if headers.get("WARC-Block-Digest", "") != f"sha1:{digest(block)}":
-        raise WarcError(f"{headers.get('WARC-Record-ID')}: wrong block digest")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    record = Record(headers, _fields(http)[1], payload)
-    if headers["WARC-Type"] == "response":
-        if int(record.http["Content-Length"]) != len(payload) or headers["WARC-Payload-Digest"] != f"sha1:{digest(payload)}":
-            raise WarcError(f"{headers.get('WARC-Record-ID')}: wrong payload length or digest")
-    return record
+class _Frame:
+    """A record as its bytes come in: the header up to an empty line, a block of Content-Length bytes, digested as they
+    pass, and two line ends."""
+
+    def __init__(self) -> None:
+        self.top, self.headers, self.left = bytearray(), None, 0
+        self.http_top, self.http = bytearray(), None
+        self.block, self.told, self.payload, self.tail = hashlib.sha1(), hashlib.sha1(), bytearray(), b""
+
+    def fail(self, why: str) -> WarcError:
+        return WarcError(f"{(self.headers or {}).get('WARC-Record-ID')}: {why}")
+
+    @staticmethod
+    def _head(held: bytearray, data: bytes) -> tuple[str, dict[str, str], bytes] | None:
+        """Fields and what follows them, once the empty line has come."""
+        begin = max(0, len(held) - 3)
+        held += data
+        at = held.find(b"\r\n\r\n", begin)
+        return None if at < 0 else (*_fields(bytes(held[:at])), bytes(held[at + 4 :]))
+
+    def take(self, data: bytes) -> None:
+        if self.headers is None:
+            if (found := self._head(self.top, data)) is None:
+                return
+            version, self.headers, data = found
+            self.left = int(self.headers.get("Content-Length", -1))
+            if not version.startswith("WARC/") or self.left < 0:
+                raise WarcError("no WARC header")
+        part, rest = data[: self.left], data[self.left :]
+        self.left -= len(part)
+        self.tail += rest
+        if len(self.tail) > 4:
+            raise self.fail("the block is longer than Content-Length says")
+        self.block.update(part)
+        if self.http is None:
+            if (found := self._head(self.http_top, part)) is None:
+                return
+            _, self.http, part = found
+        self.told.update(part)
+        self.payload += part
+
+    def record(self) -> Record:
+        if self.headers is None or self.http is None:
+            raise WarcError("no WARC header")
+        if self.left or self.tail != b"\r\n\r\n":
+            raise self.fail("the block isn't as long as Content-Length says")
+        if self.headers.get("WARC-Block-Digest", "") != f"sha1:{_base32(self.block.digest())}":
+            raise self.fail("wrong block digest")
+        if self.headers["WARC-Type"] == "response" and (int(self.http["Content-Length"]) != len(self.payload) or self.headers["WARC-Payload-Digest"] != f"sha1:{_base32(self.told.digest())}"):
+            raise self.fail("wrong payload length or digest")
+        return Record(self.headers, self.http, bytes(self.payload))
 
 
 def read_records(read: Callable[[int], bytes]) -> Iterator[Record]:
-    """Records of one archive in order. read(n) gives up to n bytes more, none at the end."""
-    member, parts, rest = zlib.decompressobj(31), [], b""
-    while True:
-        data = rest or read(CHUNK)
-        if not data:
-            if parts:
+    """Records of one archive in order. read(n) gives up to n bytes more, none at the end. Members are inflated at most
+    CHUNK bytes at a time, so besides a chunk only the record that is being framed is held."""
+    data = read(CHUNK)
+    while data:
+        member, frame = zlib.decompressobj(31), _Frame()
+        while not member.eof:
+            out = member.decompress(data, CHUNK)
+            frame.take(out)
+            data = member.unconsumed_tail
+            if not member.eof and not data and len(out) < CHUNK and not (data := read(CHUNK)):
                 raise WarcError("the archive ends inside a record")
-            return
-        parts.append(member.decompress(data))
-        rest = member.unused_data
-        if member.eof:
-            yield _parse(b"".join(parts))
-            member, parts = zlib.decompressobj(31), []
+        yield frame.record()
+        data = member.unused_data or read(CHUNK)
 
 
 def _store(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -129,7 +167,7 @@ def write_archives(pages: DataFrame, out: str, key: str = "page_id", url: str =
         F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("body"),
     ).withColumn("sha", F.sha1(F.col("body").cast("binary")))
     first = rows.groupBy("sha").agg(F.max("id").alias("first"))
-    joined = rows.join(first, "sha", "left").select("id", "url", "body", "first")
+    joined = rows.join(first, "sha", "left").select("id", "url", "body", "sha", "first")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = _store(out)
@@ -143,13 +181,13 @@ def write_archives(pages: DataFrame, out: str, key: str = "page_id", url: str =
                 done.append((path, n, size))
 
         for b in batches:
-            for i, u, body, first in zip(*(b.column(c) for c in ("id", "url", "body", "first")), strict=True):
+            for i, u, body, sha, first in zip(*(b.column(c) for c in ("id", "url", "body", "sha", "first")), strict=True):
                 if file is None or size >= ARCHIVE_BYTES:
                     close()
                     path = f"{out}/{where.partitionId():05d}-{where.taskAttemptId()}-{len(done):03d}.warc.gz"
                     file, n, size = store.open_output_stream(f"{folder}/{path.rpartition('/')[2]}"), 0, 0
                 i, first, raw = i.as_py(), first.as_py(), body.as_py().encode()
-                member = encode_record("" if i is None else str(i), u.as_py(), raw, digest(raw), None if i == first else str(first))
+                member = encode_record("" if i is None else str(i), u.as_py(), raw, _base32(bytes.fromhex(sha.as_py())), None if i == first else str(first))
                 file.write(member)
                 n, size = n + 1, size + len(member)
         close()
@@ -191,6 +229,6 @@ def read_archives(manifest: DataFrame, files: int) -> DataFrame:
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes archives to a new folder in the shared one and reads them back; the digest columns of each record."""
-    out = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    out = new_path(pages.sparkSession, "warc")
     manifest = staged(write_archives(pages, out), "warc-manifest")
     return read_archives(manifest, manifest.count()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
