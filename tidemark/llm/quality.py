@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import input_columns
-from tidemark.llm.folds import TRAIN_ROWS, held_out, training_rows
+from tidemark.llm.folds import TRAIN_ROWS, held_out, once, training_rows
 
 FEATURES = (
     "log_chars", "word_length", "upper", "digits", "stops", "commas", "loud", "marks", "bars", "brackets", "newlines",
@@ -150,15 +150,14 @@ def _matrix(texts: pa.Array) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Additive:
-    """From at most rows labelled documents; their features, some kB a hundred, go to the driver."""
+    """From at most rows labelled documents, one for each id; their features alone, 18 numbers a row, go to the driver."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _matrix(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
-    got = training_rows(docs, labels, "quality", rows).mapInArrow(measure, "doc_id long, label int, x array<double>").toPandas()
-    got = got.assign(first=[tuple(v) for v in got["x"]]).sort_values(["doc_id", "first"], kind="stable")
+    got = once(training_rows(docs, labels, "quality", rows).mapInArrow(measure, "doc_id long, label int, x array<double>")).toPandas().sort_values("doc_id")
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(FEATURES))
     return train(x, (got["label"].to_numpy() > 0).astype(float))
 
