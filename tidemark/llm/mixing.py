@@ -1,8 +1,9 @@
 """Mixing sources to target weights: hash-random order within each source, distributed prefix sums, exact cuts.
 
-DataFrame functions only. Each row gets a random-looking number from its id; a source's rows, sorted by it, are cut into
-ranges of that number. Sums per range, prefix sums over ranges and running sums inside a range give every row its start
-in its source without any task seeing a whole source.
+DataFrame functions only. Each row gets a random-looking number from its id and text; a source's rows, sorted by it, are
+cut into ranges of that number. Sums per range, prefix sums over ranges and running sums inside a range give every row its
+start in its source without any task seeing a whole source. Rows that agree in id and text have one number, however many
+they are: a crowd of them stands in its range as one row of their summed size, and is numbered apart, by salt.
 """
 
 from __future__ import annotations
@@ -11,17 +12,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import WORD, staged
+from tidemark.llm.common import WORD, row_name, staged
 
 #: Weights of the sources in order, repeating; share of all sizes that the mix takes; times that a source may repeat.
 WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
-#: Bits of the random number; a range of it holds about so many rows of the table, or half.
-BITS, RANGE_ROWS = 60, 1024
+#: Bits of the random number; a range of it holds about so many rows of the table, or half; bits of a range at most.
+BITS, RANGE_ROWS, RANGE_BITS = 60, 1024, 36
+#: Rows of a range beyond which repeated rows in it are told apart by salt; rows of a salt, about.
+CROWD_ROWS = 8 * RANGE_ROWS
 
 
-def random_key(key: Column, seed: str) -> Column:
-    """60 bits of md5 of the seed and the id as text; the same in any engine."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(key.cast("string"), F.lit("null"))).cast("binary")), 1, 15), 16, 10).cast("long")
+def random_key(name: Column, seed: str) -> Column:
+    """60 bits of md5 of the seed and a name; the same in any engine."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed), name).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
@@ -51,24 +54,57 @@ def source_key(source: Column) -> Column:
     return F.struct(source.isNull().alias("none"), F.coalesce(source, F.lit("")).alias("name"))
 
 
+def _bases(cells: DataFrame, bits: int) -> DataFrame:
+    """s, range, base: what lies before a range in its source. Prefix sums at two levels, so that no task sees all ranges."""
+    low = bits // 2
+    coarse = cells.withColumn("coarse", F.shiftright("range", low))
+    sums = coarse.groupBy("s", "coarse").agg(F.sum("cell").alias("sum"))
+    upto = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.select("s", "coarse", (F.sum("sum").over(upto("s", "coarse")) - F.col("sum")).alias("before"))
+    inner = coarse.select("s", "coarse", "range", (F.sum("cell").over(upto("s", "coarse", "range")) - F.col("cell")).alias("inner"))
+    return inner.join(sums, ["s", "coarse"]).select("s", "range", (F.col("before") + F.col("inner")).alias("base"))
+
+
+def _started(rows: DataFrame, cells: DataFrame, base: DataFrame) -> DataFrame:
+    """rows with start, the sizes that stand before each in its source."""
+    inside = Window.partitionBy("s", "range").orderBy("at", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.col("base") + F.sum("mass").over(inside) - F.col("mass")
+    crowded = cells.where(F.col("n") > CROWD_ROWS).select("s", "range")
+    if crowded.isEmpty():
+        return rows.withColumn("mass", F.col("size")).join(base, ["s", "range"]).withColumn("start", start).drop("mass", "base")
+    same = ["s", "range", "at", "tie", "size"]
+    crowds = staged(rows.join(crowded, ["s", "range"], "left_semi").groupBy(*same).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > RANGE_ROWS), "mix-crowds")
+    alone = rows.join(crowds, same, "left_anti").withColumn("mass", F.col("size"))
+    stands = crowds.withColumn("mass", F.col("size") * F.col("n")).withColumn("crowd", F.col("n"))
+    laid = alone.withColumn("crowd", F.lit(None).cast("long")).unionByName(stands.drop("n"), allowMissingColumns=True).join(base, ["s", "range"]).withColumn("start", start)
+    firsts = staged(laid.where("crowd is not null").select(*same, "crowd", F.col("start").alias("first"), "source_size", "target"), "mix-crowd-starts")
+    salt = F.pmod(F.xxhash64("uid"), F.floor(F.col("crowd") / CROWD_ROWS) + 1)
+    copies = rows.join(firsts, same).withColumn("salt", salt)
+    parts = staged(copies.groupBy(*same, "salt").agg(F.count(F.lit(1)).alias("n")), "mix-salts")
+    before = Window.partitionBy(*same).orderBy("salt").rowsBetween(Window.unboundedPreceding, 0)
+    parts = parts.withColumn("before", F.sum("n").over(before) - F.col("n")).drop("n")
+    number = F.row_number().over(Window.partitionBy(*same, "salt").orderBy("uid")) - 1
+    numbered = copies.join(parts, [*same, "salt"]).withColumn("start", F.col("first") + (F.col("before") + number) * F.col("size"))
+    return laid.where("crowd is null").drop("mass", "base", "crowd").unionByName(numbered.drop("salt", "before", "first", "crowd"))
+
+
 def plan(rows: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
-    """From (doc_id, source, size, tie, ...): adds source_size, target and taken, the words that the mix takes of the
+    """From (doc_id, source, size, name, tie, ...): adds source_size, target and taken, the words that the mix takes of the
     row, repeats counted: whole epochs of the source, then rows in random order up to the exact budget; the row in which
-    it ends is taken in part. Equal ids go by tie; sizes of 0 take 0."""
-    rows = staged(rows.withColumn("at", random_key(F.col("doc_id"), seed)).withColumn("s", source_key(F.col("source"))), "mix-rows")
-    bits = min(24, max(4, (rows.count() // RANGE_ROWS).bit_length()))
-    ranged = rows.withColumn("range", F.shiftright("at", BITS - bits).cast("int"))
-    cells = staged(ranged.groupBy("s", "range").agg(F.sum("size").alias("cell")), "mix-cells")
+    it ends is taken in part. Equal random numbers go by id and tie; sizes of 0 take 0."""
+    rows = rows.withColumn("at", random_key(F.col("name"), seed)).withColumn("s", source_key(F.col("source"))).drop("name")
+    rows = staged(rows.withColumn("uid", F.monotonically_increasing_id()), "mix-rows")
+    bits = min(RANGE_BITS, max(4, (rows.count() // RANGE_ROWS).bit_length()))
+    ranged = rows.withColumn("range", F.shiftright("at", BITS - bits))
+    cells = staged(ranged.groupBy("s", "range").agg(F.sum("size").alias("cell"), F.count(F.lit(1)).alias("n")), "mix-cells")
     sizes = cells.groupBy("s").agg(F.sum("cell").alias("source_size")).select(F.when(~F.col("s.none"), F.col("s.name")).alias("source"), "source_size")
     targets = source_targets(sizes, weights, share, repeats).select(source_key(F.col("source")).alias("s"), "source_size", "target")
-    earlier = Window.partitionBy("s").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
-    base = cells.withColumn("base", F.sum("cell").over(earlier) - F.col("cell")).join(targets, "s").select("s", "range", "base", "source_size", "target")
-    inside = Window.partitionBy("s", "range").orderBy("at", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    told = ranged.join(base, ["s", "range"]).withColumn("start", F.col("base") + F.sum("size").over(inside) - F.col("size"))
+    base = _bases(cells, bits).join(targets, "s")
+    told = _started(ranged, cells, base)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.floor(F.col("target")) - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.least(F.greatest(rest - F.col("start"), F.lit(0)), F.col("size"))
-    return told.withColumn("taken", taken.cast("long")).drop("s", "at", "range", "base", "start")
+    return told.withColumn("taken", taken.cast("long")).drop("s", "at", "range", "start", "uid")
 
 
 def sized(docs: DataFrame, *more: Column) -> DataFrame:
@@ -77,6 +113,7 @@ def sized(docs: DataFrame, *more: Column) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
+        row_name(F.col("doc_id").cast("long"), text).alias("name"),
         F.xxhash64(text).alias("tie"),
         *more,
     )
@@ -115,7 +152,7 @@ def mixed(docs: DataFrame, seed: str = "mix") -> DataFrame:
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         CAST('0x' || substr(md5('mix' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS at, coalesce(text, '') AS tie
+         CAST('0x' || substr(md5('mix' || md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ' ' || coalesce(text, ''))), 1, 15) AS BIGINT) AS at, coalesce(text, '') AS tie
   FROM documents
 ), z AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
