@@ -1,7 +1,8 @@
 """Sharding by extendible hashing: a directory over hash-prefix bits in which only oversized buckets split.
 
-The directory grows a level at a time: sums of bytes per bucket decide which buckets split on their next bit. Only
-their rows' sums are made again, from cells that are summed once, so each level works on a table of cells, not on texts.
+A directory with a few cells for each shard that the mean needs is summed once from the rows. From its cells the levels
+above are climbed one at a time, each half as large as the one below: a bucket is a shard if it fits and the bucket that it
+was split from doesn't. Cells that don't fit themselves split on: only their rows are summed again, over more bits.
 """
 
 from __future__ import annotations
@@ -10,16 +11,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import staged
+from tidemark.llm.common import row_name, staged
 
 #: Bytes of text that a shard holds at most, and the bits of the hash that a directory can use.
 LIMIT, BITS = 8 << 20, 40
-#: Bits more than the mean needs that a first directory has, and that a later one adds.
-SLACK = 6
+#: Bits more than the mean needs that a first directory has, and bits that a later one adds.
+SLACK, MORE = 2, 6
 #: Rows of a bucket of repeated rows that are numbered in one task, about, if all rows are such.
 CROWD_ROWS = 100_000
 
 
+def _directory(cells: DataFrame, top: int, above: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """From cells (cell of top bits, b bytes) whose buckets of `above` bits are known not to fit (-1: not known of any):
+    a row per cell that lies in a bucket that fits (cell, depth, bucket, shard_bytes), and the cells that don't fit."""
+    last = top == BITS
+    over = F.lit(False) if last else F.col("b") > limit  # beyond the last bit nothing splits
+    level = cells.select(F.col("cell").alias("bucket"), "b", over.alias("over"))
+    found = []
+    for depth in range(top, above, -1):
+        if depth == above + 1:
+            level = level.withColumn("split", F.lit(True))
+        else:
+            pair = Window.partitionBy(F.shiftright("bucket", 1))
+            level = level.select("*", F.sum("b").over(pair).alias("up"), F.max("over").over(pair).alias("low")).withColumn("split", F.col("low") | (F.col("up") > limit))
+        level = staged(level, "shard-level")
+        found.append(level.where("split and not over").select(F.lit(depth).alias("depth"), "bucket", F.col("b").alias("shard_bytes")))
+        if level.where("not split").isEmpty():
+            break
+        level = level.groupBy(F.shiftright("bucket", 1).alias("bucket")).agg(F.sum("b").alias("b"), F.max("split").alias("over"))
+    fit = found[0]
+    for part in found[1:]:
+        fit = fit.unionByName(part)
+    spread = fit.withColumn("cell", F.explode(F.sequence(F.expr(f"shiftleft(bucket, {top} - depth)"), F.expr(f"shiftleft(bucket + 1, {top} - depth) - 1"))))
+    spread = spread.join(cells.select("cell"), "cell", "left_semi")
+    return staged(spread.select("cell", "depth", "bucket", "shard_bytes"), "shard-directory"), staged(cells.where(~F.lit(last) & (F.col("b") > limit)).select("cell"), "shard-over")
+
+
 def assigned(docs: DataFrame, *more, limit: int = LIMIT) -> DataFrame:
     """From docs: doc_id, n_bytes, depth, bucket (the prefix of depth bits), chunk, shard_bytes and the columns in more.
 
@@ -28,26 +55,21 @@ def assigned(docs: DataFrame, *more, limit: int = LIMIT) -> DataFrame:
     their bucket is cut into chunks of as many rows as surely fit; a single row over the limit is a chunk alone. Null
     text: 0 bytes."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(" "), F.md5(text.cast("binary")))
-    hashed = F.shiftright(F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("long"), 60 - BITS)
+    name = row_name(F.col("doc_id").cast("long"), text)
+    hashed = F.shiftright(F.conv(F.substring(name, 1, 15), 16, 10).cast("long"), 60 - BITS)
     rows = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), hashed.alias("h"), F.monotonically_increasing_id().alias("uid"), *more), "shard-rows")
     total, count = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count(F.lit(1))).first()
-    done, left, depth, top = None, rows, 0, min(BITS, (total // limit).bit_length() + SLACK)
+    done, left, above, top = None, rows, -1, min(BITS, (total // limit).bit_length() + SLACK)
     while True:
         at = F.shiftright("h", BITS - top)
         cells = staged(left.groupBy(at.alias("cell")).agg(F.sum("n_bytes").alias("b")), "shard-cells")
-        levels = range(depth + (depth > 0), top + 1)
-        flat = cells.select("cell", "b", F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftright("cell", top - d).alias("bucket")) for d in levels])).alias("at")).select("cell", "b", "at.*")
-        fit = flat.groupBy("depth", "bucket").agg(F.sum("b").alias("shard_bytes")).where((F.col("shard_bytes") <= limit) | (F.col("depth") == BITS))
-        directory = flat.drop("b").join(fit, ["depth", "bucket"]).groupBy("cell").agg(F.min(F.struct("depth", "bucket", "shard_bytes")).alias("to"))
-        directory = staged(directory.select("cell", "to.*"), "shard-directory")
+        directory, over = _directory(cells, top, above, limit)
         part = left.withColumn("cell", at).join(directory, "cell").drop("cell")
         done = part if done is None else done.unionByName(part)
-        over = staged(cells.join(directory, "cell", "left_anti").select("cell"), "shard-over")
         if over.isEmpty():
             break
         left = staged(left.withColumn("cell", at).join(over, "cell", "left_semi").drop("cell"), "shard-left")
-        depth, top = top, min(BITS, top + SLACK)
+        above, top = top, min(BITS, top + MORE)
     full = (F.col("depth") == BITS) & (F.col("shard_bytes") > limit)
     fits = done.where(~full).withColumn("chunk", F.lit(0).cast("long"))
     if top < BITS:
@@ -90,7 +112,7 @@ def oracle(limit: int = LIMIT, deepest: int = 24) -> str:
     return f"""
 WITH d AS (
   SELECT doc_id, strlen(coalesce(text, '')) AS n_bytes,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ' ' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) >> {60 - BITS} AS h
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ' ' || coalesce(text, '')), 1, 15) AS BIGINT) >> {60 - BITS} AS h
   FROM documents
 ), f AS (
   SELECT d.*, depth, h >> ({BITS} - depth) AS bucket FROM d, (SELECT unnest(range(0, {deepest + 1})) AS depth) AS l
