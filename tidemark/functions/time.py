@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 NS = 1_000_000_000
 DAY_S = 86_400
+HOUR_NS, DAY_NS = 3600 * NS, DAY_S * NS
 
 
 def epoch_ns(ts: Column) -> Column:
@@ -20,7 +21,7 @@ def _div(a: Column, b: Column) -> Column:
 
 def floor_div(a: Column, b: int) -> Column:
     """Floor of a / b for BIGINT a of any sign, without a detour over doubles."""
-    return _div( a - F.pmod(a, F.lit(b)), F.lit(b).cast("long"))
+    return _div(a - F.pmod(a, F.lit(b)), F.lit(b).cast("long"))
 
 
 def day_of_week(day: Column) -> Column:
@@ -30,8 +31,8 @@ def day_of_week(day: Column) -> Column:
 
 def parse_date(text: Column) -> Column:
     """Y-M-D or Y.M.D with one kind of separator; null if there is no such day."""
-    dash = F.when(text.rlike(r"^\d+-\d+-\d+$"), F.try_to_date(text, F.lit("y-M-d")))
-    return dash.when(text.rlike(r"^\d+\.\d+\.\d+$"), F.try_to_date(text, F.lit("y.M.d")))
+    dash = F.when(text.rlike(r"^\d+-\d+-\d+$"), F.try_to_date(text, "y-M-d"))
+    return dash.when(text.rlike(r"^\d+\.\d+\.\d+$"), F.try_to_date(text, "y.M.d"))
 
 
 def format_date(day: Column) -> Column:

@@ -5,22 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.asof import FORWARD, as_of
+from tidemark.functions.time import DAY_NS, HOUR_NS
+from tidemark.operators.asof import as_of_both
 from tidemark.operators.extrema import by_buckets, by_scan
 
-#: Width of the time buckets on which ranges meet ticks.
-HOUR_NS, DAY_NS = 3600 * 10**9, 86_400 * 10**9
 
-
-def price_positions(positions: DataFrame, ticks: DataFrame, method: str = "blocks", bucket_ns: int = HOUR_NS, series_bucket_ns: int | None = None) -> DataFrame:
+def price_positions(positions: DataFrame, ticks: DataFrame, method: str = "blocks", bucket_ns: int = HOUR_NS, series_bucket_ns: int = DAY_NS) -> DataFrame:
     """trade_id, status, entry_ts_ns, exit_ts_ns, entry_price, exit_price, pnl, max_adverse_excursion for each position.
 
     positions: trade_id (unique), instrument_id, side, quantity, entry_ts_ns, exit_ts_ns. Status 1 and nulls where a side
     finds no tick or the exit's tick lies before the entry's. A side of 0 or less takes the short branch; the profit takes
-    the side as it is. method: scan or blocks, the same result. Prices are widened to doubles before any arithmetic."""
+    the side as it is. method: scan or blocks, the same result; bucket_ns: the buckets on which ranges meet ticks. Prices are widened to doubles before any arithmetic."""
     asked = positions.withColumnsRenamed({"entry_ts_ns": "t_in", "exit_ts_ns": "t_out"})
-    found = as_of(asked, ticks, "t_in", FORWARD, prefix="entry_", bucket_ns=series_bucket_ns)
-    found = as_of(found, ticks, "t_out", prefix="exit_", bucket_ns=series_bucket_ns)
+    found = as_of_both(asked, ticks, "trade_id", "t_in", "t_out", bucket_ns=series_bucket_ns)
     bad = F.col("entry_ts_ns").isNull() | F.col("exit_ts_ns").isNull() | (F.col("exit_ts_ns") < F.col("entry_ts_ns"))
     found = found.withColumn("status", F.when(bad, 1).otherwise(0))
     ranges = found.where("status = 0").select(F.col("trade_id").alias("range_id"), "instrument_id", F.col("entry_ts_ns").alias("from_ns"), F.col("exit_ts_ns").alias("to_ns"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions.time import floor_div
+
 #: Least variance, as a share of the squared first price, for which a z-score is a signal.
 FLOOR = 1e-14
 
@@ -29,7 +31,13 @@ def rolling(ticks: DataFrame, window: int, by: tuple[str, ...]) -> DataFrame:
     return out.drop("x", "s1", "s2", "m", "q")
 
 
-def not_increasing(ticks: DataFrame) -> DataFrame:
-    """Ticks that don't lie strictly after the one before in file order (columns instrument_id, ts_ns, and seq for it)."""
-    before = F.lag("ts_ns").over(Window.partitionBy("instrument_id").orderBy("seq"))
-    return ticks.withColumn("before_ns", before).where(F.col("ts_ns") <= F.col("before_ns"))
+def not_increasing(ticks: DataFrame, part: int = 10_000_000) -> DataFrame:
+    """Ticks that don't lie strictly after the one before in file order (columns instrument_id, ts_ns, and seq for it), with
+    before_ns. A series is taken in parts of that many numbers, a raw day file each; a part's first tick is held against
+    the last of the part before."""
+    cut = ticks.withColumn("__p", floor_div(F.col("seq"), part))
+    ends = cut.groupBy("instrument_id", "__p").agg(F.max_by("ts_ns", "seq").alias("__last"))
+    ends = ends.select("instrument_id", "__p", F.lag("__last").over(Window.partitionBy("instrument_id").orderBy("__p")).alias("__last"))
+    before = F.lag("ts_ns").over(Window.partitionBy("instrument_id", "__p").orderBy("seq"))
+    told = cut.join(ends, ["instrument_id", "__p"]).withColumn("before_ns", F.coalesce(before, "__last"))
+    return told.where(F.col("ts_ns") <= F.col("before_ns")).select(*ticks.columns, "before_ns")

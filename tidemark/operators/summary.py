@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Trading days of a year.
 YEAR = 252.0
@@ -38,7 +41,27 @@ def summarise(trades: DataFrame, days: DataFrame, regions: DataFrame) -> DataFra
     return out.select("region_id", "region", "reverter_flag", F.coalesce("trade_count", F.lit(0)).alias("trade_count"), F.coalesce("total_pnl", F.lit(0.0)).alias("total_pnl"), "sharpe")
 
 
-def nearest_rank(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
-    """One row: the values of rank ceil(p n) for each share, mean and max."""
-    picks = [F.expr(f"percentile_disc({p}) within group (order by {value})").alias(n) for n, p in shares.items()]
-    return df.agg(*picks, F.avg(value).alias("mean_value"), F.max(value).alias("max_value"))
+def nearest_rank(df: DataFrame, value: str, shares: dict[str, float], cells: int = 1024) -> DataFrame:
+    """One row: the values of rank ceil(p n) for each share (null if there are none), mean and max; nulls don't count.
+
+    A sketch cuts the values into cells of about equal size, rows are counted per cell, and only the cells that hold a rank
+    are looked into, by counts of their distinct values: no task sorts the whole column."""
+    rows = df.select(F.col(value).alias("v")).where("v is not null")
+    cuts = rows.agg(F.percentile_approx("v", [i / cells for i in range(1, cells)], 10 * cells)).first()[0] or []
+    edges = F.lit(sorted(set(cuts)))
+    cell = F.when(F.lit(bool(cuts)), F.size(F.filter(edges, lambda e: e < F.col("v")))).otherwise(0) if cuts else F.lit(0)
+    placed = rows.withColumn("cell", cell)
+    counts = sorted((r["cell"], r["n"]) for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect())
+    total = sum(n for _, n in counts)
+    wanted, before = {}, 0
+    for at, n in counts:
+        for name, p in shares.items():
+            rank = max(1, math.ceil(p * total - 1e-9))
+            if before < rank <= before + n:
+                wanted[name] = (at, rank - before)
+        before += n
+    upto = Window.partitionBy("cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = placed.where(F.col("cell").isin(sorted({c for c, _ in wanted.values()}))).groupBy("cell", "v").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(upto))
+    picks = [F.min(F.when((F.col("cell") == wanted[n][0]) & (F.col("upto") >= wanted[n][1]), F.col("v"))) if n in wanted else F.lit(None).cast("double") for n in shares]
+    found = inside.agg(*[p.alias(n) for p, n in zip(picks, shares, strict=True)])
+    return found.crossJoin(df.agg(F.avg(value).alias("mean_value"), F.max(value).alias("max_value")))  # of two single rows

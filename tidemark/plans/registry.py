@@ -10,14 +10,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.time import DAY_S, NS, epoch_ns
+from tidemark.functions.time import DAY_S, HOUR_NS, NS, epoch_ns
 from tidemark.operators import calendar as cal
 from tidemark.operators import extrema, rolling, strategy, summary
 from tidemark.operators.asof import FORWARD, as_of, in_interval
-from tidemark.operators.positions import DAY_NS, price_positions
+from tidemark.operators.positions import price_positions
 from tidemark.operators.snapshot import snapshot
 from tidemark.sources.config import REGIONS
-from tidemark.sources.ticks import verify
+from tidemark.sources.store import verify
 
 #: Settings of the registered queries.
 STRIDE, WINDOW, ENTRY, EXIT, HOLD_S = 16, 20, 1.0, 0.0, 6 * 3600
@@ -79,7 +79,7 @@ def asof_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asof_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_of(probes(spark, sf_dir), ticks(spark, sf_dir), "t_ns", bucket_ns=DAY_NS)
+    return as_of(probes(spark, sf_dir), ticks(spark, sf_dir), "t_ns", bucket_ns=HOUR_NS)
 
 
 def priced(spark: SparkSession, sf_dir: str, method: str = "blocks") -> DataFrame:
@@ -123,7 +123,9 @@ def rolling_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def monotonic_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rolling.not_increasing(ticks(spark, sf_dir).withColumn("seq", F.col("event_id"))).select("event_id", "instrument_id", "ts_ns", "before_ns")
+    """Every fifth event is put some hundred places later in the file than its time is."""
+    late = (F.col("event_id") + F.when(F.col("event_id") % 5 == 0, 400).otherwise(0)) * 10 + F.when(F.col("event_id") % 5 == 0, 1).otherwise(0)
+    return rolling.not_increasing(ticks(spark, sf_dir).withColumn("seq", late), 1000).select("event_id", "instrument_id", "ts_ns", "before_ns")
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,7 +240,7 @@ SQL: dict[str, str] = {
     "segments": f"WITH {_SEGMENTS} SELECT * FROM seg",
     "segment_containing": f"WITH {_SEGMENTS}, {_PROBES} SELECT p.*, seg.day, seg.session FROM p LEFT JOIN seg ON p.instrument_id = seg.instrument_id AND p.t_ns >= start_ns AND p.t_ns < end_ns",
     "rolling_zscore": f"WITH {_ROLLING} SELECT series, ts_ns, pos, round(mean, 6) AS mean, round(variance, 4) AS variance, round(z, 5) AS z FROM z",
-    "monotonic_check": f"WITH {_TICKS}, l AS (SELECT *, lag(ts_ns) OVER (PARTITION BY instrument_id ORDER BY event_id) AS before_ns FROM t) SELECT event_id, instrument_id, ts_ns, before_ns FROM l WHERE ts_ns <= before_ns",
+    "monotonic_check": f"WITH {_TICKS}, l AS (SELECT *, lag(ts_ns) OVER (PARTITION BY instrument_id ORDER BY (event_id + CASE WHEN event_id % 5 = 0 THEN 400 ELSE 0 END) * 10 + CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END) AS before_ns FROM t) SELECT event_id, instrument_id, ts_ns, before_ns FROM l WHERE ts_ns <= before_ns",
     "strategy_trades": _STRATEGY,
     "strategy_windows": _STRATEGY,
     "daily_pnl": f"WITH {_DAILY} SELECT region, reverter_flag, strftime(day, '%Y%m%d') AS day, round(pnl, 3) AS pnl FROM daily",

@@ -1,4 +1,4 @@
-"""Tick files: raw day files of 16-byte records, and the clustered store with its summaries."""
+"""Raw day files of 16-byte tick records."""
 
 from __future__ import annotations
 
@@ -6,13 +6,13 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import calendar as cal
-from tidemark.operators.extrema import STRIDE, block_index
-from tidemark.operators.rolling import not_increasing
+from tidemark.functions.time import DAY_NS, floor_div
 
 #: Fixed values of the raw format: little-endian record, file names.
 RECORD = np.dtype([("ts_ns", "<i8"), ("price", "<f4"), ("volume", "<i4")])
@@ -42,55 +42,29 @@ def read_raw(spark: SparkSession, folder: str) -> DataFrame:
     return named.mapInArrow(decode, "instrument_id long, ts_ns long, price float, volume int, seq long")
 
 
-def write_raw(ticks: DataFrame, folder: str) -> None:
-    """folder/YYYYMMDD/NNNN.bin by UTC day; folder must be one that driver and executors share as files."""
-    import os
+def write_raw(ticks: DataFrame, folder: str, ids: DataFrame | None = None, days: DataFrame | None = None) -> int:
+    """folder/YYYYMMDD/NNNN.bin by UTC day; how many files. folder: any store that all executors reach, as a URI or path.
+    With ids (instrument_id) and days (trade_date) each of them gets a file on each day, an empty one where it has no ticks.
 
-    def encode(key: tuple, rows) -> object:
-        day, i = key
-        os.makedirs(f"{folder}/{day}", exist_ok=True)
+    A file is written under a name of its own and then renamed, so a task that is run again leaves one whole file."""
+    dated = ticks.select("instrument_id", F.date_from_unix_date(floor_div(F.col("ts_ns"), DAY_NS).cast("int")).alias("trade_date"), "ts_ns", "price", "volume")
+    if ids is not None and days is not None:
+        grid = ids.select("instrument_id").distinct().crossJoin(days.select("trade_date").distinct())  # the files asked for
+        dated = dated.unionByName(grid, allowMissingColumns=True)
+    dated = dated.select("instrument_id", "trade_date", F.col("ts_ns").isNotNull().alias("real"), *[F.coalesce(c, F.lit(0).cast(k)).alias(c) for c, k in (("ts_ns", "long"), ("price", "float"), ("volume", "int"))])
+
+    def encode(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        i, day = key
+        store, root = pafs.FileSystem.from_uri(folder)
+        rows = rows[rows["real"]].sort_values("ts_ns")
         v = np.empty(len(rows), RECORD)
-        rows = rows.sort_values("ts_ns")
         for c in RECORD.names:
-            v[c] = rows[c].to_numpy()
-        at = f"{folder}/{day}/{i:04d}.bin"
-        with open(f"{at}.{uuid.uuid4().hex}", "wb") as f:
+            v[c] = rows[c].to_numpy(RECORD[c])
+        at = f"{root}/{day:%Y%m%d}/{i:04d}.bin"
+        store.create_dir(at.rpartition("/")[0], recursive=True)
+        with store.open_output_stream(new := f"{at}.{uuid.uuid4().hex}") as f:
             f.write(v.tobytes())
-        os.replace(f.name, at)
-        return rows[:1].assign(n=len(rows))[["n"]]
-
-    dated = ticks.withColumn("day", F.date_format(F.timestamp_seconds(F.floor(F.col("ts_ns").cast("decimal(20,0)") / 1_000_000_000)), "yyyyMMdd"))
-    dated.groupBy("day", "instrument_id").applyInPandas(encode, "n long").agg(F.sum("n")).collect()
-
-
-def ingest(raw: DataFrame, store: str, ids: DataFrame | None = None, sessions: DataFrame | None = None, stride: int = STRIDE) -> None:
-    """Checks raw ticks (columns as read_raw gives them) and writes store/ticks, clustered by instrument and time within
-    each UTC day, store/blocks and store/segments. The marker table store/published comes last: without it there is no store.
-    BadInput if a series isn't strictly increasing in file order."""
-    wrong = not_increasing(raw).head()
-    if wrong:
-        raise BadInput(f"instrument {wrong['instrument_id']}: {wrong['ts_ns']} is not strictly increasing")
-    spark = raw.sparkSession
-    dated = raw.drop("seq").withColumn("trade_date", F.date_from_unix_date(F.floor(F.col("ts_ns").cast("decimal(20,0)") / (86_400 * 10**9)).cast("int")))
-    dated.repartitionByRange("trade_date", "instrument_id", "ts_ns").sortWithinPartitions("trade_date", "instrument_id", "ts_ns").write.mode("overwrite").partitionBy("trade_date").parquet(f"{store}/ticks")
-    ticks = spark.read.parquet(f"{store}/ticks")
-    block_index(ticks, stride).write.mode("overwrite").parquet(f"{store}/blocks")
-    if ids is not None and sessions is not None:
-        cal.segments(cal.assign_segments(ticks, ids, sessions)).write.mode("overwrite").parquet(f"{store}/segments")
-    spark.range(1).select(F.lit(stride).alias("stride")).write.mode("overwrite").parquet(f"{store}/published")
-
-
-def open_store(spark: SparkSession, store: str) -> DataFrame:
-    """Its ticks; BadInput if it was never published."""
-    try:
-        spark.read.parquet(f"{store}/published")
-    except Exception as e:
-        raise BadInput(f"{store}: not a published store") from e
-    return spark.read.parquet(f"{store}/ticks")
-
-
-def verify(raw: DataFrame, stored: DataFrame) -> DataFrame:
-    """Rows that only one of both has, with side raw or store; none if the store is true. Repeats count."""
-    cols = ["instrument_id", "ts_ns", "price", "volume"]
-    a, b = raw.select(*cols), stored.select(*cols)
-    return a.exceptAll(b).withColumn("side", F.lit("raw")).unionByName(b.exceptAll(a).withColumn("side", F.lit("store")))
+        store.move(new, at)
+        return pd.DataFrame({"n": [len(v)]})
+
+    return dated.groupBy("instrument_id", "trade_date").applyInPandas(encode, "n long").count()
