@@ -206,6 +206,22 @@ def test_generator(spark):
     assert gen.generate(spark, regions, c.model, "2025-01-02", "2025-01-02", 1, limit=1).select("instrument_id").distinct().count() == 1
 
 
+def test_generated_inputs(spark):
+    regions = config().frame(spark)
+    open_, ids = calendar(regions, "2025-01-02", "2025-01-10").cache(), cal.instruments(regions)
+    make = lambda seed: sorted(map(tuple, gen.positions(spark, 2000, open_, ids, seed).collect()))
+    rows = make(1)
+    assert rows == make(1) != make(2) and len({r[0] for r in rows}) == 2000 and {r[1] for r in rows} == {0, 1, 2} and {r[2] for r in rows} == {1, -1}
+    spans = [(r["start_ns"], r["end_ns"]) for r in open_.collect()]
+    inside = sum(any(a <= r[4] < z for a, z in spans) for r in rows) / 2000
+    assert 0.8 < inside < 0.9
+    holds = sorted((r[5] - r[4]) / 10**9 for r in rows)
+    assert 1 <= holds[0] and holds[-1] <= 5 * 86_400 and 300 < holds[1000] < 1500  # log-uniform: the median is the root of the ends' product
+    assert all(1 <= r[3] <= 1000 for r in rows)
+    at = [tuple(r) for r in gen.instants(spark, 400, 50, 1000, 3).orderBy("ordinal").collect()]
+    assert [k for k, _ in at] == list(range(400)) and all(50 <= t < 1000 for _, t in at) and len({t for _, t in at}) > 250
+
+
 def test_streaming_form_on_a_batch(spark):
     df = spark.createDataFrame([(0, 10**9, 5.0), (0, 2 * 10**9, 4.0), (0, 61 * 10**9, 7.0)], "instrument_id long, ts_ns long, price float")
     got = sorted((r["n"], r["min_price"], r["last_price"]) for r in streaming_blocks(df).collect())
