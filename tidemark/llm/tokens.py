@@ -66,6 +66,7 @@ class PrefixTable:
         self.whole: dict[int, bool] = {}
         self.splits = {a + b: (a, b, r) for (a, b), r in self.ranks.items()}
         self.spines: dict[int, tuple[list, list]] = {}
+        self.each = regex.compile(PATTERN).finditer
         self.find = find = regex.compile(PATTERN).findall
         self.counts = counts = _Counts(lambda w: self.word(w.encode())[-1], MEMO_WORDS)
         odd = lambda c: not c or c[0].isspace() or c[-1].isspace()  # noqa: E731  runs of white space are cut by what follows them
@@ -172,12 +173,13 @@ class PrefixTable:
                 chunks[c] = sum(map(counts.__getitem__, ws))
 
     def pieces(self, text: str) -> Iterator[tuple[str, bool]]:
-        """Pre-tokens in order; True for a special token's string, which the library counts as one."""
-        for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
+        """Pre-tokens in order, found as they are asked for; True for a special token's string, which the library counts as
+        one."""
+        for k, part in enumerate(self.cut.split(text) if self.cut and any(s in text for s in self.specials) else [text]):
             if k % 2:
                 yield part, True
             else:
-                yield from ((w, False) for w in self.find(part))
+                yield from ((m.group(), False) for m in self.each(part))
 
     def total(self, text: str) -> int:
         if self.cut is not None and any(s in text for s in self.specials):
