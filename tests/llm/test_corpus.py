@@ -136,6 +136,17 @@ def test_repeats(spark, odd, none, tables, block, monkeypatch):
         assert repeats.removed(none).count() == 0 and repeats.removed(odd).count() == odd.count()
 
 
+def test_repeats_of_many_equal_rows(spark):
+    """Thousands of rows that agree in id and text, and as many without an id, are repeats of each other."""
+    rng = np.random.default_rng(6)
+    text = "".join(rng.choice(list("mnop qr"), 900))
+    rows = [(1, text)] * 3000 + [(None, text[:700])] * 1000 + [(k, "".join(rng.choice(list("stuv"), 500)) + text[100:550] + str(k)) for k in range(2, 6)] + [(9, "".join(rng.choice(list("wxyz"), 800)))]
+    distinct = list(dict.fromkeys(rows))
+    slow = dict(zip(distinct, slow_repeats([t.encode() for _, t in distinct + distinct[:2]], 400)[: len(distinct)], strict=True))  # two of each that repeat are enough
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(tuple(r) for r in repeats.removed(frame).collect()) == Counter((r[0], *slow[r]) for r in rows)
+
+
 def test_mixing(spark, odd, none, tables):
     for docs in (odd, table(spark, tables, "documents")):
         got = [tuple(r) for r in mixing.mix(docs).collect()]

@@ -31,6 +31,14 @@ def test_token_counts_are_the_library_s(spark, odd, none, tables, library):
     assert tokens.token_counts(none, path, 512).count() == 0
 
 
+def test_prefix_counts(spark, odd, none, library):
+    path, count = library
+    docs = odd.where("length(text) < 2000 or text is null").select("doc_id", "text")
+    got = Counter((r["doc_id"], tuple(r["counts"])) for r in tokens.prefix_counts(docs, path).collect())
+    assert got == Counter((r["doc_id"], tuple(count((r["text"] or "")[:i]) for i in range(len(r["text"] or "") + 1))) for r in docs.collect())
+    assert tokens.prefix_counts(none, path).count() == 0
+
+
 @pytest.mark.parametrize("text", ["", "a<|endoftext|>b  c", "don't 're x\n\n  y   ", "é" * 20 + "² 12３", "<|endof", "\x85\x1f a's  'll"])
 def test_every_prefix(library, text):
     path, count = library
@@ -47,6 +55,30 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_of_odd_pages(spark):
+    """A payload of some MB, empty lines in it, nulls, repeated rows, and columns named as those of the operator."""
+    long = "".join(f"<p>{k}</p>\r\n\r\n" for k in range(300_000))
+    rows = [(1, None, long), (2, "u", long), (3, "u", long + " "), (4, "", "\r\n\r\n"), (4, "", "\r\n\r\n"), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for c in ("id", "sha", "first", "body", "path", "record_type", "payload"):
+        pages = pages.withColumn(c, warc.F.lit("x"))
+    got = sorted(((r["page_id"] or 0, r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect()), key=str)
+    told = lambda i, t, kind="response", to=None: (i, len(t), warc.digest(t.encode()), kind, to)
+    assert got == sorted([told(1, long, "revisit", 2), told(2, long), told(3, long + " "), told(4, "\r\n\r\n"), told(4, "\r\n\r\n"), told(0, "")], key=str)
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 100, 1 << 20])
+def test_warc_reader_takes_any_chunk(chunk, monkeypatch):
+    import io
+
+    monkeypatch.setattr(warc, "CHUNK", chunk)
+    payloads = [b"", b"\r\n\r\n", b"x" * 5000, bytes(range(256)) * 9, b"HTTP/1.1 200 OK\r\n\r\n"]
+    data = b"".join(warc.encode_record(str(k), "u", p, warc.digest(p), None if k % 2 else str(k)) for k, p in enumerate(payloads))
+    got = list(warc.read_records(io.BytesIO(data).read))
+    assert [r.payload for r in got] == [p if k % 2 else b"" for k, p in enumerate(payloads)]
+    assert [r.headers["WARC-Type"] for r in got] == ["revisit", "response"] * 2 + ["revisit"]
+
+
 def test_warc_reader_refuses_damage():
     import gzip
     import io
@@ -113,7 +145,7 @@ def test_fingerprints(spark, odd, none, tables):
         t, n = texts[r["doc_id"]], after[r["doc_id"]]
         edited = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
         assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        error.append(r["near_edited"] - jaccard(t, edited))
+        error += [r["near_edited"] - jaccard(t, edited), r["near_next"] - (jaccard(t, n) if t.split() or n.split() else 1.0)]
         assert seen.setdefault(t, r["fingerprint"]) == r["fingerprint"]
     assert abs(np.mean(error)) < 0.03 and np.mean(np.abs(error)) < 0.08
     assert cws.fingerprints(odd).count() == odd.count() and cws.fingerprints(none).count() == 0
