@@ -133,6 +133,17 @@ def test_repeats(spark, odd, none, tables, block, monkeypatch):
     want = Counter((d, *v) for (d, _), v in zip(rows, slow_repeats([(t or "").encode() for _, t in rows], 400), strict=True))
     assert Counter(tuple(r) for r in repeats.removed(frame).collect()) == want
     if block == 3000:
+        texts = {d: (t or "").encode() for d, t in rows}
+        for r in repeats.without_repeats(frame).where("doc_id is not null").collect():
+            raw, at = texts[r["doc_id"]], 0
+            for s in r["spans"]:
+                assert at <= s["start"] < s["stop"] <= len(raw)
+                at = s["stop"] + 1
+            gone = np.zeros(len(raw), bool)
+            for s in r["spans"]:
+                gone[s["start"] : s["stop"]] = True
+            assert bytes(r["kept"]) == bytes(b for b, g in zip(raw, gone, strict=True) if not g)
+            assert (r["doc_id"], len(raw), int(gone.sum()), len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) in want
         assert repeats.removed(none).count() == 0 and repeats.removed(odd).count() == odd.count()
 
 

@@ -17,7 +17,7 @@ All windows are judged on the input; marks of a text are then merged and the mar
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -349,39 +349,56 @@ def marks(docs: DataFrame) -> DataFrame:
     return done.unionByName(indexed)
 
 
-def removed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row. Null text: empty, nothing removed. Repeated rows are
-    repeats of each other; a null id is a row like any other; texts under WIDTH bytes lose nothing."""
+def _with_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, text, spans (ranges to remove, in any order; null for none) of every row."""
+    rows = input_columns(docs).withColumn("key", row_key(F.col("doc_id"), F.col("text")))
+    # repeated rows give the same spans
+    found = marks(rows.select("key", "text")).groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    return rows.join(staged(found, "spans"), "key", "left").select("doc_id", "text", "spans")
+
+
+def runs_of(spans: list[dict] | None) -> list[tuple[int, int]]:
+    """The maximal runs of bytes that spans cover, in order; spans that touch are one."""
+    out: list[list[int]] = []
+    for s, e in sorted((s["start"], s["stop"]) for s in spans or ()):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return [(s, e) for s, e in out]
+
+
+def kept(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
+    """What is left of a text without the runs."""
+    at = [0, *(e for _, e in runs)]
+    return b"".join(raw[a:z] for a, z in zip(at, [*(s for s, _ in runs), len(raw)], strict=True))
+
+
+def _cut(docs: DataFrame, schema: str, row: Callable) -> DataFrame:
+    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    kinds = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<struct<start:int,stop:int>>": pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))}[k] for k in kinds]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for i, text, spans in zip(b.column("doc_id"), b.column("text"), b.column("spans"), strict=True):
-                raw = text.as_buffer().to_pybytes()
-                kept, n, at = list(keep(raw, [(s["start"], s["stop"]) for s in spans.as_py() or ()])), 0, hashlib.sha256()
-                for part in kept[1:]:
-                    at.update(part)
-                    n += len(part)
-                rows.append((i.as_py(), len(raw), len(raw) - n, kept[0], at.hexdigest()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()], strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            for at in range(0, len(b), 500):
+                part = b.slice(at, 500)
+                rows = [row(i.as_py(), t.as_buffer().to_pybytes(), runs_of(s.as_py())) for i, t, s in zip(part.column("doc_id"), part.column("text"), part.column("spans"), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
 
-    rows = input_columns(docs).withColumn("key", row_key(F.col("doc_id"), F.col("text")))
-    found = marks(rows.select("key", "text")).groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))  # repeated rows give the same spans
-    return rows.join(staged(found, "spans"), "key", "left").select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(docs).mapInArrow(cut, schema)
 
 
-def keep(raw: bytes, spans: list[tuple[int, int]]) -> Iterator:
-    """The number of maximal removed runs, then the bytes that stay, part by part."""
-    runs: list[list[int]] = []
-    for s, e in sorted(spans):
-        if runs and s <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], e)
-        else:
-            runs.append([s, e])
-    yield len(runs)
-    at = 0
-    for s, e in runs:
-        yield raw[at:s]
-        at = e
-    yield raw[at:]
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, spans (the removed runs, start and stop in bytes), kept (what is left, bytes: a cut may fall within a
+    character) of every row."""
+    return _cut(docs, "doc_id long, spans array<struct<start:int,stop:int>>, kept binary", lambda i, raw, runs: (i, [{"start": s, "stop": e} for s, e in runs], kept(raw, runs)))
+
+
+def removed(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row. Null text: empty, nothing removed. Repeated rows are
+    repeats of each other; a null id is a row like any other; texts under WIDTH bytes lose nothing."""
+
+    def digest(i: int | None, raw: bytes, runs: list[tuple[int, int]]) -> tuple:
+        return i, len(raw), sum(e - s for s, e in runs), len(runs), hashlib.sha256(kept(raw, runs)).hexdigest()
+
+    return _cut(docs, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", digest)
