@@ -90,6 +90,7 @@ def slow_keep(rows):
 @pytest.mark.parametrize("paired", [64, 2])
 def test_near_copies(spark, odd, none, tables, paired, monkeypatch):
     monkeypatch.setattr(nearcopies, "PAIRED", paired)
+    monkeypatch.setattr(nearcopies, "SENT_KEYS", 250_000 if paired > 2 else 0)
     rng = np.random.default_rng(8)
     base = [f"n{x}" for x in rng.integers(0, 900, 300)]
     rows = [(r["doc_id"], r["text"]) for r in table(spark, tables, "documents").collect()]
