@@ -48,8 +48,12 @@ def nearest_rank(df: DataFrame, value: str, shares: dict[str, float], cells: int
     are looked into, by counts of their distinct values: no task sorts the whole column."""
     rows = df.select(F.col(value).alias("v")).where("v is not null")
     cuts = rows.agg(F.percentile_approx("v", [i / cells for i in range(1, cells)], 10 * cells)).first()[0] or []
-    edges = F.lit(sorted(set(cuts)))
-    cell = F.when(F.lit(bool(cuts)), F.size(F.filter(edges, lambda e: e < F.col("v")))).otherwise(0) if cuts else F.lit(0)
+    edges = sorted(set(cuts))
+    bounds, cell = F.lit(edges), F.lit(0)
+    if edges:  # how many bounds lie below a value, by binary search
+        steps = [1 << i for i in reversed(range(len(edges).bit_length()))]
+        below = lambda i: F.try_element_at(bounds, i) < F.col("v")
+        cell = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: at + F.when((at + s <= len(edges)) & below(at + s), s).otherwise(0))
     placed = rows.withColumn("cell", cell)
     counts = sorted((r["cell"], r["n"]) for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect())
     total = sum(n for _, n in counts)
