@@ -107,6 +107,39 @@ def test_near_copies(spark, odd, none, tables, paired, monkeypatch):
     assert nearcopies.keep_one(none).count() == 0
 
 
+@pytest.mark.parametrize("paired", [64, 2])
+def test_fingerprints_within_a_radius(spark, paired, monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRED", paired)
+    rng = np.random.default_rng(5)
+    fps = [int(x) for x in rng.integers(0, 1 << 62, 40)]
+    fps += [x ^ sum(1 << int(b) for b in rng.choice(62, k % 6, replace=False)) for k, x in enumerate(fps * 3)]
+    fps = sorted(set(fps))
+    want = {(x, y) for x in fps for y in fps if x > y and (x ^ y).bit_count() <= 4}
+    got = [tuple(r) for r in simhash.near_pairs(spark.createDataFrame([(x,) for x in fps], "fp long"), 4, 7).collect()]
+    assert got and len(got) == len(set(got)) and (set(got) == want if paired > 2 else set(got) < want)
+
+
+def test_near_copies_come_from_fingerprints(spark, odd, monkeypatch):
+    """What SimHash and pivots link, with the exact way for the rest left out."""
+    monkeypatch.setattr(nearcopies, "_rest", lambda docs, info, close: close)
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(40):  # ten texts, each with three copies of up to two words changed, and one of half the words
+        words = [f"m{x}" for x in rng.integers(0, 900, 300)] if k % 4 == 0 else words
+        copy = list(words)
+        for at in rng.choice(300, k % 3, replace=False):
+            copy[at] = f"e{k}x{at}"
+        rows += [(k, " ".join(copy)), (100 + k, " ".join(copy[:150]))]
+    bits = [[int(sum(int(h) >> j & 1 for h in s) * 2 > len(s)) for j in range(64)] for s in (nearcopies.shingles(t) for _, t in rows)]
+    sets = [slow_shingles(t) for _, t in rows]
+    near = lambda i, j: sum(a != b for a, b in zip(bits[i], bits[j], strict=True)) <= 4 and len(sets[i] & sets[j]) * 10 >= 8 * len(sets[i] | sets[j])
+    root = groups_of([(i, j) for i in range(len(rows)) for j in range(i) if near(i, j)], range(len(rows)))
+    want = {rows[r][0] for r in {min(k for k in root if root[k] == root[i]) for i in root}}
+    out = corpus_pipeline.distinct(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {r["doc_id"] for r in out.collect()} == want and 20 <= len(want) < 60
+    assert corpus_pipeline.distinct(spark, odd, "").count() < odd.count()
+
+
 def slow_repeats(texts, width):
     count = Counter(t[i : i + width] for t in texts for i in range(len(t) - width + 1))
     out = []

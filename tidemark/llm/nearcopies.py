@@ -1,10 +1,14 @@
-"""Near copies by exact Jaccard similarity of word shingles, for the corpus pipeline.
+"""Near copies by SimHash and pivot distance tables, verified by exact Jaccard similarity of word shingles, for the corpus pipeline.
 
-Texts of equal shingle sets are one node. Sets of similarity `LEAST` or more share a shingle among the first
-n - ceil(LEAST n) + 1 of each in any common order; those prefixes are where sets meet, so no such pair is missed. The order
-is that of hashes, with shingles last that many prefixes would share (a common line; what all of a group of copies have).
-Pairs that meet are discarded by bounds that no such pair fails (what is left of the sets from the place where they meet,
-counts of shingles by bucket) and the rest is verified on the sets themselves. In blocks of more than `PAIRED` sets, all are first held against
+Texts of equal shingle sets are one node. Each set has a SimHash of 64 bits; fingerprints within `RADIUS` bits meet by pivot
+tables (simhash.near_pairs), and what meets is linked if the sets' similarity is `LEAST` or more.
+
+Similar sets lie some 10 bits apart at `LEAST`, farther than pivots can search, so sets that this leaves apart are looked for
+by an exact way: sets of similarity `LEAST` or more share a shingle among the first n - ceil(LEAST n) + 1 of each in any common
+order; in those prefixes sets of different components meet, so no such pair is missed. The order is that of hashes, with
+shingles last that many prefixes would share (a common line; what all of a group of copies have). Pairs that meet are
+discarded by bounds that no such pair fails (what is left of the sets from the place where they meet, counts of shingles by
+bucket) and the rest is verified on the sets themselves. In blocks of more than `PAIRED` sets, all are first held against
 a few members that meet most others; pairs that this leaves in different components are discarded by a pivot table of
 Hamming distances between fingerprints of their sets, and survivors are verified.
 """
@@ -21,12 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import input_columns, row_key, staged
+from tidemark.llm.common import discard, input_columns, row_key, staged
 from tidemark.llm.components import components
-from tidemark.llm.simhash import keep_least, split_words
+from tidemark.llm.simhash import keep_least, majority, near_pairs, split_words
 
 #: Words of a shingle; least similarity of near copies.
 SHINGLE, LEAST = 5, 0.8
+#: Bits that fingerprints which meet by pivots differ in at most; segments of the pivots, all but RADIUS of which are shared.
+RADIUS, SEGMENTS = 4, 7
 #: Sets of a block that are compared pair by pair at most; members of a larger one that all others are held against.
 PAIRED, CENTRES = 64, 4
 #: Keys of texts that are sent to all executors at most, some 40 bytes each.
@@ -107,21 +113,22 @@ def _order(docs: DataFrame) -> Order:
 
 
 def _described(docs: DataFrame, order: Order) -> DataFrame:
-    """doc_id, key, sid (hash of the set), n, counts by bucket, prefix of every row."""
+    """doc_id, key, sid (hash of the set), fp (its SimHash), n, counts by bucket, prefix of every row."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
-            sid, size, counts, prefix = [], [], [], []
+            sid, fp, size, counts, prefix = [], [], [], [], []
             for t in b.column("text"):
                 s = shingles(t.as_py())
                 sid.append(xxhash.xxh64_intdigest(s.tobytes(), 42) - (1 << 63))
+                fp.append(majority(s[at : at + 4096] for at in range(0, len(s), 4096)))
                 size.append(len(s))
                 counts.append(np.minimum(np.bincount((s % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS), MOST).astype(np.uint8).tobytes())
                 prefix.append(order.prefix(s))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(sid, pa.int64()), pa.array(size, pa.int32()), pa.array(counts, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "key", "sid", "n", "counts", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(sid, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(counts, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "key", "sid", "fp", "n", "counts", "prefix"])
 
     rows = input_columns(docs).withColumn("key", row_key(F.col("doc_id"), F.col("text")))
-    return rows.mapInArrow(add, "doc_id long, key binary, sid long, n int, counts binary, prefix array<long>")
+    return rows.mapInArrow(add, "doc_id long, key binary, sid long, fp long, n int, counts binary, prefix array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -166,7 +173,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, info: DataFrame) -> DataFrame:
     # few keys go to where the texts lie; beyond that texts and keys meet by key
     sets = staged(_sets(docs, F.broadcast(wanted) if wanted.count() <= SENT_KEYS else wanted), "copy-shingles")
     held = lambda x: sets.select(F.col("sid").alias(x), F.col("set").alias(f"s{x}"))
-    return left.join(held("u"), "u").join(held("v"), "v").select("u", "v", "su", "sv").mapInArrow(check, "u long, v long")
+    found = staged(left.join(held("u"), "u").join(held("v"), "v").select("u", "v", "su", "sv").mapInArrow(check, "u long, v long"), "copy-links")
+    discard(left, wanted, sets)
+    return found
 
 
 def _blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -195,14 +204,14 @@ def _u_v(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of each block that sizes and places let be near copies."""
+    """All pairs of each block that lie in different components and that sizes and places let be near copies."""
     for t in _blocks(batches):
-        token, sid, n, room = (t.column(c).to_numpy() for c in ("token", "sid", "n", "room"))
+        token, sid, n, room, root = (t.column(c).to_numpy() for c in ("token", "sid", "n", "room", "root"))
         for d in range(1, len(token)):
             i = np.flatnonzero(token[d:] == token[:-d])
             if not len(i):
                 break
-            i = i[np.minimum(room[i], room[i + d]) >= needed(n[i].astype(np.int64) + n[i + d])]
+            i = i[(root[i] != root[i + d]) & (np.minimum(room[i], room[i + d]) >= needed(n[i].astype(np.int64) + n[i + d]))]
             yield _u_v(sid[i], sid[i + d])
 
 
@@ -252,30 +261,51 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield _u_v(np.full(len(j), names[i]), names[j])
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, key, root for every row: rows with equal root are linked by near copies. Texts without words are copies."""
-    rows = staged(_described(docs, _order(docs)), "copy-rows")
-    info = staged(rows.groupBy("sid").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("prefix").alias("prefix")), "copy-sets")
-    tokens = info.select(F.posexplode("prefix").alias("pos", "token"), "sid", "n").select("token", "sid", "n", (F.col("n") - F.col("pos")).alias("room"))
-    blocks = lambda df: df.groupBy("token").agg(F.count(F.lit(1)).alias("m"))
-    met = staged(tokens.join(blocks(tokens).where("m > 1"), "token"), "copy-blocks")
-    small = met.where(F.col("m") <= PAIRED).repartition("token").sortWithinPartitions("token").select("token", "sid", "n", "room").mapInArrow(_pair, "u long, v long")
+def _close(docs: DataFrame, info: DataFrame) -> DataFrame:
+    """node, root: sets linked by near copies whose fingerprints lie within RADIUS bits. Of sets with one fingerprint one
+    stands for it."""
+    prints = staged(info.groupBy("fp").agg(F.min("sid").alias("one")), "copy-prints")
+    side = lambda x: prints.select(F.col("fp").alias(x), F.col("one").alias(f"s{x}"))
+    met = near_pairs(prints, RADIUS, SEGMENTS).join(side("u"), "u").join(side("v"), "v")
+    met = met.select(F.greatest("su", "sv").alias("u"), F.least("su", "sv").alias("v"))
+    same = info.select("fp", "sid").join(prints, "fp").where("sid > one").select(F.col("sid").alias("u"), F.col("one").alias("v"))
+    return staged(components(_verified(docs, met.unionByName(same), info)), "copy-roots")
+
+
+def _rest(docs: DataFrame, info: DataFrame, close: DataFrame) -> DataFrame:
+    """node, root: sets linked by near copies, all of them. close: what is linked already, in the same form."""
+    linked = lambda roots, more: staged(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "copy-roots")
+    placed = info.join(close, F.col("sid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sid"))
+    tokens = placed.select(F.posexplode("prefix").alias("pos", "token"), "sid", "n", "root").select("token", "sid", "n", (F.col("n") - F.col("pos")).alias("room"), "root")
+    blocks = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("token", "m")
+    met = staged(tokens.join(blocks, "token"), "copy-blocks")
+    small = met.where(F.col("m") <= PAIRED).repartition("token").sortWithinPartitions("token").select("token", "sid", "n", "room", "root").mapInArrow(_pair, "u long, v long")
     crowd = met.where(F.col("m") > PAIRED)
     reach = crowd.groupBy("sid").agg(F.count(F.lit(1)).alias("reach"))
     crowd = staged(crowd.join(reach, "sid"), "copy-crowds")
     # of each of CENTRES parts of a block the member that meets most others, found map-side; all others are held against them
-    best = crowd.groupBy("token", F.pmod("sid", F.lit(CENTRES)).alias("part")).agg(F.max(F.struct("reach", "sid", "n", "room")).alias("c"))
-    best = staged(best.select("token", "c.sid", "c.n", "c.room"), "copy-centres")
-    star = crowd.join(best.select("token", F.col("sid").alias("c"), F.col("n").alias("cn"), F.col("room").alias("croom")), "token").where("sid != c").where(F.least("room", "croom") >= F.ceil((F.col("n") + F.col("cn")) * (LEAST / (1 + LEAST)) - 1e-9))
+    best = crowd.groupBy("token", F.pmod("sid", F.lit(CENTRES)).alias("part")).agg(F.max(F.struct("reach", "sid", "n", "room", "root")).alias("c"))
+    best = staged(best.select("token", "c.sid", "c.n", "c.room", "c.root"), "copy-centres")
+    star = crowd.join(best.select("token", F.col("sid").alias("c"), F.col("n").alias("cn"), F.col("room").alias("croom"), F.col("root").alias("croot")), "token")
+    star = star.where("root != croot").where(F.least("room", "croom") >= F.ceil((F.col("n") + F.col("cn")) * (LEAST / (1 + LEAST)) - 1e-9))
     star = star.select(F.greatest("sid", "c").alias("u"), F.least("sid", "c").alias("v"))
-    found = staged(_verified(docs, small.unionByName(star).distinct(), info), "copy-links")
-    roots = staged(components(found), "copy-roots")
-    known = crowd.join(roots, F.col("sid") == F.col("node"), "left").select("token", "sid", "n", "room", F.coalesce("root", "sid").alias("root"))
+    found = _verified(docs, small.unionByName(star).distinct(), info)
+    discard(met, best)
+    roots = linked(close, found)
+    known = crowd.drop("root").join(roots, F.col("sid") == F.col("node"), "left").select("token", "sid", "n", "room", F.coalesce("root", "sid").alias("root"))
     mixed = known.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("token")
     left = known.join(mixed, "token").join(info.select("sid", "counts"), "sid").repartition("token").sortWithinPartitions("token").select("token", "sid", "n", "room", "root", "counts")
-    more = _verified(docs, left.mapInArrow(_across, "u long, v long").distinct(), info)
-    roots = staged(components(found.unionByName(more)), "copy-roots")
-    return rows.select("doc_id", "key", "sid").join(roots, F.col("sid") == F.col("node"), "left").select("doc_id", "key", F.coalesce("root", "sid").alias("root"))
+    return linked(roots, _verified(docs, left.mapInArrow(_across, "u long, v long").distinct(), info))
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """doc_id, key, root for every row: rows with equal root are linked by near copies. Texts without words are copies."""
+    rows = staged(_described(docs, _order(docs)), "copy-rows")
+    info = staged(rows.groupBy("sid").agg(F.min("key").alias("key"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("prefix").alias("prefix")), "copy-sets")
+    ids = staged(rows.select("doc_id", "key", "sid"), "copy-ids")
+    discard(rows)
+    roots = _rest(docs, info, _close(docs, info))
+    return ids.join(roots, F.col("sid") == F.col("node"), "left").select("doc_id", "key", F.coalesce("root", "sid").alias("root"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

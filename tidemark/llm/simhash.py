@@ -12,7 +12,7 @@ within half the radius of both, at most 65 to a point.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import input_columns, row_key, staged
+from tidemark.llm.common import discard, input_columns, row_key, staged
 from tidemark.llm.components import components
 
 SHINGLE, RADIUS, SEGMENTS = 3, 2, 5
@@ -46,11 +46,16 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
     starts = np.concatenate(([0], ends[:-1]))
     k = max(1, len(words) - size + 1)
     last = (ends[size - 1 :] if len(words) >= size else ends[-1:]) - 1
-    h, count = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    a, b = starts[:k].tolist(), last.tolist()
-    for at in range(0, k, 4096):
-        v = np.array([h(line[i:j], 42) for i, j in zip(a[at : at + 4096], b[at : at + 4096], strict=True)], np.uint64)
+    h, a, b = xxhash.xxh64_intdigest, starts[:k].tolist(), last.tolist()
+    return majority(np.array([h(line[i:j], 42) for i, j in zip(a[at : at + 4096], b[at : at + 4096], strict=True)], np.uint64) for at in range(0, k, 4096))
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """64 bits; a bit is set if it is in over half the hashes of all parts. Without hashes: 0."""
+    count, k = np.zeros(64, np.int64), 0
+    for v in parts:
         count += np.unpackbits(v.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        k += len(v)
     return int(np.packbits(count * 2 > k, bitorder="little").view(np.uint64)[0])
 
 
@@ -128,9 +133,8 @@ def close_pairs(keys: np.ndarray, fp: np.ndarray, pivots: Pivots, radius: int =
     return np.concatenate(us), np.concatenate(vs)
 
 
-def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """u > v: links of distinct fingerprints (column fp) that join exactly those within radius bits and what they reach."""
-    pivots = Pivots()
+def _met(prints: DataFrame, pivots: Pivots, radius: int) -> DataFrame:
+    """key, fp, n (fingerprints of the key): where distinct fingerprints (column fp) meet."""
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -140,6 +144,16 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
                 k = pivots.keys(pivots.table(part), radius)
                 yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.repeat(part, k.shape[1]))], names=["key", "fp"])
 
+    keys = staged(prints.select("fp").mapInArrow(key, "key long, fp long"), "pivot-keys")
+    blocks = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = staged(keys.join(blocks, "key"), "pivot-blocks")
+    discard(keys)
+    return met
+
+
+def _paired(met: DataFrame, pivots: Pivots, radius: int) -> DataFrame:
+    """u > v: near fingerprints of blocks that are compared pair by pair."""
+
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, fp = np.empty(0, np.int64), np.empty(0, np.int64)
 
@@ -157,6 +171,13 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
         if len(k):
             yield told(k, fp)
 
+    return met.where(F.col("n") <= PAIRED).repartition("key").sortWithinPartitions("key").select("key", "fp").mapInArrow(pair, "u long, v long")
+
+
+def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """u > v: links of distinct fingerprints (column fp) that join exactly those within radius bits and what they reach."""
+    pivots = Pivots()
+
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ball = np.concatenate([np.zeros(1, np.uint64), np.uint64(1) << np.arange(64, dtype=np.uint64)]).view(np.int64)
         for b in batches:
@@ -165,13 +186,29 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
                 part = fp[at : at + 1024]
                 yield pa.RecordBatch.from_arrays([pa.array((part[:, None] ^ ball[None, :]).ravel()), pa.array(np.repeat(part, 65))], names=["point", "fp"])
 
-    keys = staged(prints.select("fp").mapInArrow(key, "key long, fp long"), "pivot-keys")
-    blocks = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = staged(keys.join(blocks, "key"), "pivot-blocks")
-    paired = met.where(F.col("n") <= PAIRED).repartition("key").sortWithinPartitions("key").select("key", "fp").mapInArrow(pair, "u long, v long")
+    met = _met(prints, pivots, radius)
     crowd = met.where(F.col("n") > PAIRED).select("fp").distinct()
     near = crowd.mapInArrow(points, "point long, fp long").withColumn("v", F.min("fp").over(Window.partitionBy("point"))).where("fp > v").select(F.col("fp").alias("u"), "v")
-    return paired.unionByName(near)
+    return _paired(met, pivots, radius).unionByName(near)
+
+
+def near_pairs(prints: DataFrame, radius: int, segments: int) -> DataFrame:
+    """u > v: pairs of distinct fingerprints (column fp) within radius bits, to be verified by the caller. All of them, but
+    where over PAIRED meet, only those with the least of the block; such pairs the caller must find otherwise."""
+    pivots = Pivots(segments)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            u, v = (b.column(c).to_numpy(zero_copy_only=False) for c in ("u", "v"))
+            ok = np.abs(pivots.table(u) - pivots.table(v)).max(1, initial=0) <= radius
+            ok &= popcount(u.view(np.uint64) ^ v.view(np.uint64)) <= radius
+            yield b.filter(pa.array(ok))
+
+    met = _met(prints, pivots, radius)
+    crowd = met.where(F.col("n") > PAIRED)
+    least = staged(crowd.groupBy("key").agg(F.min("fp").alias("v")), "pivot-centres")
+    star = crowd.join(least, "key").where("fp > v").select(F.col("fp").alias("u"), "v").distinct().mapInArrow(near, "u long, v long")
+    return _paired(met, pivots, radius).unionByName(star).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
